@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 def hash_bucket(h: Column, buckets: int) -> Column:
     """Bucket of a 64-bit hash, monotone in the hash as a signed number."""
-    return F.shiftrightunsigned(F.bitwise_xor(h, F.lit(-(1 << 63))), 64 - (buckets - 1).bit_length()).cast("int")
+    return F.shiftright(h, 64 - (buckets - 1).bit_length()).cast("int")
 
 
 def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str, before: bool = False) -> DataFrame:
