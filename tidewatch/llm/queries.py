@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import lookalikes, mixing, packing, survivors
+from tidewatch.llm import lookalikes, matching, mixing, packing, survivors, truncation
 from tidewatch.session import table
 
 
+def p4_found(spark, sf):
+    return matching.found(table(spark, sf, "engine_findings"))
+
+
+def p4_matches(spark, sf):
+    return matching.matches(table(spark, sf, "engine_findings"))
+
+
+def p5_found(spark, sf):
+    return truncation.found(table(spark, sf, "validations"), table(spark, sf, "discoveries"))
+
+
+def p5_rates(spark, sf):
+    return truncation.rates(table(spark, sf, "validations"), table(spark, sf, "discoveries"))
+
+
+def p5_limit_lengths(spark, sf):
+    return truncation.limit_lengths(table(spark, sf, "validations"), table(spark, sf, "discoveries"))
+
+
 def p6_found(spark, sf):
     return survivors.found(table(spark, sf, "finding_reports"), table(spark, sf, "source_trust"))
 
@@ -70,6 +90,11 @@ WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.fingerprint = a.fingerprint AND b.fi
 """
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
+    "p5_limit_lengths": p5_limit_lengths,
     "p6_found": p6_found,
     "p6_survivors": p6_survivors,
     "p7_prompts": p7_prompts,
