@@ -63,16 +63,20 @@ def bag_difference(rows: DataFrame, columns: Sequence[str], side: str, out: str
     return rows.groupBy(*columns).agg(F.sum(side).alias(out)).filter(F.col(out) != 0)
 
 
-def label_changes(residue: DataFrame, key: Sequence[str], content: Sequence[str], copies: str = "copies") -> DataFrame:
-    """Full join of the two residues by ``key`` (null-safe): kind is new, fixed or changed.
+def label_changes(residue: DataFrame, key: Sequence[str], content: Sequence[str], copies: str = "copies", null_keys: bool = True) -> DataFrame:
+    """Full join of the two residues by ``key``: kind is new, fixed or changed.
+
+    Null keys are equal; where the key has none, ``null_keys=False`` lets the join keep the
+    residue's partitioning.
 
     ``content`` of either side comes out as ``new_*`` and ``old_*``.
     """
     cur = residue.filter(F.col(copies) > 0).select(*key, *[F.col(c).alias(f"new_{c}") for c in content], F.lit(True).alias("__cur"))
     prev = residue.filter(F.col(copies) < 0).select(*[F.col(k).alias(f"__{k}") for k in key], *[F.col(c).alias(f"old_{c}") for c in content], F.lit(True).alias("__prev"))
-    cond = cur[key[0]].eqNullSafe(prev[f"__{key[0]}"])
-    for k in key[1:]:
-        cond = cond & cur[k].eqNullSafe(prev[f"__{k}"])
+    same = [cur[k].eqNullSafe(prev[f"__{k}"]) if null_keys else cur[k] == prev[f"__{k}"] for k in key]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
     kind = F.when(F.col("__prev").isNull(), "new").when(F.col("__cur").isNull(), "fixed").otherwise("changed")
     return cur.join(prev, cond, "full").select(
         *[F.coalesce(F.col(k), F.col(f"__{k}")).alias(k) for k in key],
@@ -104,20 +108,17 @@ def finding_changes(scans: DataFrame, findings: DataFrame, phase: str = "final")
     blank) do not take part; rows of one identity in a scan are one finding, of which the
     row with the highest db_id gives the content. Content is compared without case and
     outer blanks, null equals empty, status open equals empty. Persisting findings without
-    a difference do not come out; see ``finding_states`` for those. Empty tables give an
+    a difference do not come out. Empty tables give an
     empty result; extra columns are ignored.
     """
-    return _labelled(_bag(scans, findings, phase)).filter(F.col("change_kind") != "persisting")
+    return _labelled(_bag(scans, findings, phase))
 
 
 def _pairs(scans: DataFrame) -> DataFrame:
-    """scan_id -> the pairs in which its rows take part, with the side (one pass over the scans)."""
-    s = counting_scans(scans).filter(F.col("prev_scan_id").isNotNull())
-
-    def side(scan: str, sign: int) -> Column:
-        return F.struct(F.col(scan).alias("scan_id"), F.col("scan_id").alias("pair_scan"), F.col("prev_scan_id").alias("pair_prev"), F.lit(sign).alias("side"))
-
-    return s.select(F.inline(F.array(side("scan_id", 1), side("prev_scan_id", -1))))
+    """scan_id -> the scan before and after it, and a number of its series."""
+    s = counting_scans(scans)
+    after = s.filter(F.col("prev_scan_id").isNotNull()).select(F.col("prev_scan_id").alias("scan_id"), F.col("scan_id").alias("next_scan_id"))
+    return s.select("scan_id", "prev_scan_id", F.xxhash64("target", "branch").alias("series")).join(after, "scan_id", "left")
 
 
 def _content(c: str) -> Column:
@@ -125,7 +126,7 @@ def _content(c: str) -> Column:
     return (F.when(v == "open", "").otherwise(v) if c == "status" else v).alias(c)
 
 
-KEY = ("pair_prev", "pair_scan", "rule_id", "path", "line")
+KEY = ("series", "rule_id", "path", "line", "pair_prev", "pair_scan")
 
 
 def _bag(scans: DataFrame, findings: DataFrame, phase: str) -> DataFrame:
@@ -138,13 +139,21 @@ def _bag(scans: DataFrame, findings: DataFrame, phase: str) -> DataFrame:
         F.struct(*[_content(c) for c in CONTENT]).alias("content"),
     )
     f = f.filter((F.col("rule_id") != "") & (F.col("path") != ""))
-    # One finding for each identity, on either side of each pair it belongs to.
-    one = f.join(_pairs(scans), "scan_id").groupBy(*KEY, "side").agg(F.max(F.struct("db_id", "content")).alias("x"))
+    # Exchanged once, by identity inside the series; everything below keeps that partitioning: the
+    # split into pairs, one finding for each identity, the bag difference and the full join.
+    placed = f.join(_pairs(scans), "scan_id").repartition("series", "rule_id", "path", "line")
+
+    def side(sign: int, prev: str, cur: str) -> Column:
+        return F.when(F.col("prev_scan_id" if sign > 0 else "next_scan_id").isNotNull(), F.struct(F.lit(sign).alias("side"), F.col(prev).alias("pair_prev"), F.col(cur).alias("pair_scan")))
+
+    sides = F.array_compact(F.array(side(1, "prev_scan_id", "scan_id"), side(-1, "scan_id", "next_scan_id")))
+    rows = placed.select("series", "rule_id", "path", "line", "db_id", "content", F.inline(sides))
+    one = rows.groupBy(*KEY, "side").agg(F.max(F.struct("db_id", "content")).alias("x"))
     return bag_difference(one.select(*KEY, "side", F.col("x.content").alias("content")), [*KEY, "content"], "side")
 
 
 def _labelled(residue: DataFrame) -> DataFrame:
-    return label_changes(residue, KEY, ["content"])
+    return label_changes(residue, KEY, ["content"], null_keys=False)
 
 
 def found(scans: DataFrame, findings: DataFrame) -> DataFrame:
