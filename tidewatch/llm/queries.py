@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import lookalikes, matching, mixing, packing, survivors, truncation
+from tidewatch.llm import credentials, lookalikes, matching, mixing, packing, survivors, truncation
 from tidewatch.session import table
 
 
+def p3_found(spark, sf):
+    return credentials.spans(table(spark, sf, "findings"))
+
+
+def p3_redacted(spark, sf):
+    return credentials.redacted(table(spark, sf, "findings"))
+
+
 def p4_found(spark, sf):
     return matching.found(table(spark, sf, "engine_findings"))
 
@@ -90,6 +98,8 @@ WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.fingerprint = a.fingerprint AND b.fi
 """
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p5_found": p5_found,
