@@ -334,7 +334,7 @@ def sequences(seed: int, rounds: int) -> tuple[list[tuple[list[list[str]], list[
     return out, missed
 
 
-def train(data: list, epochs: int = 6, rate: float = 0.25, l2: float = 1e-5, seed: int = 1) -> c.Crf:
+def train(data: list, epochs: int = 8, rate: float = 0.25, l2: float = 1e-5, seed: int = 1) -> c.Crf:
     """AdaGrad on the conditional log-likelihood (forward-backward a sequence)."""
     names = sorted({f for x, _ in data for row in x for f in row})
     at = {f: i for i, f in enumerate(names)}
@@ -387,7 +387,7 @@ def score(crf: c.Crf, data: list) -> tuple[float, float]:
 
 
 if __name__ == "__main__":
-    data, missed = sequences(11, 40)
+    data, missed = sequences(11, 90)
     print("sequences", len(data), "credentials that are no token", missed)
     crf = train(data)
     c.MODEL.write_text(json.dumps({"labels": c.LABELS, "weights": dict(sorted(crf.weights.items())), "transitions": crf.transitions}, indent=0))
