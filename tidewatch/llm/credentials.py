@@ -329,7 +329,7 @@ def features(tokens: list[Token], context: str = "") -> list[list[str]]:
                 c = "secret" if name_class(tokens[k - 2].text if k > 1 else "") == "secret" else c
             own = name_class(t.text) if t.text[0].isalpha() and s in NAME_SHAPES else "value"
             q = "quoted" if quoted else "bare"
-            f += [f"shape={s}", f"own={own}", f"rel={rel}", f"name={c}", f"{rel}|{c}", f"{c}|{s}", f"{rel}|{c}|{s}|{q}", f"len={min(len(t.text) // 4, 12)}"]
+            f += [f"shape={s}", f"own={own}", f"rel={rel}", f"name={c}", f"{rel}|{c}", f"{c}|{s}", f"{rel}|{c}|{s}|{q}"]
             if context:
                 f += [f"ctx={context}|{rel}|{s}", f"ctx={context}|{rel}|{c}"]
             if t.text.lower() == name.lower() or (name and parts_of(t.text) == parts_of(name)):
@@ -472,9 +472,14 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _values(findings: DataFrame) -> DataFrame:
-    """db_id, field_name, text_key, text of the values in which a credential may stand."""
+    """db_id, field_name, text, text_key of the non-empty values."""
     v = findings.select("db_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in FIELDS])))
-    return v.filter(F.col("db_id").isNotNull() & F.col("text").rlike(TEXT_GATE)).withColumn("text_key", F.unhex(F.md5("text")))
+    return v.filter(F.col("db_id").isNotNull() & (F.col("text") != "")).withColumn("text_key", F.unhex(F.md5("text")))
+
+
+def _texts(v: DataFrame) -> DataFrame:
+    """Distinct texts in which a credential may stand. The gate runs after the (hash-aggregated) distinct: texts repeat."""
+    return v.select("text", "text_key").distinct().filter(F.col("text").rlike(TEXT_GATE))
 
 
 def spans(findings: DataFrame) -> DataFrame:
@@ -484,9 +489,9 @@ def spans(findings: DataFrame) -> DataFrame:
     left out. Distinct texts are labelled once and joined back by their digest.
     """
     v = _values(findings)
-    texts = v.groupBy("text_key").agg(F.first("text").alias("text"))
-    hits = texts.mapInPandas(_locate, "text_key binary, start_pos int, end_pos int")
-    return v.select("db_id", "field_name", "text_key").distinct().join(hits, "text_key").select("db_id", "field_name", "start_pos", "end_pos")
+    hits = _texts(v).mapInPandas(_locate, "text_key binary, start_pos int, end_pos int")
+    hits = hits.groupBy("text_key").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("spans"))
+    return v.select("db_id", "field_name", "text_key").distinct().join(hits, "text_key").select("db_id", "field_name", F.inline("spans"))
 
 
 def redact(text: str) -> str:
@@ -507,6 +512,5 @@ def redacted(findings: DataFrame) -> DataFrame:
             yield pd.DataFrame({"text_key": b["text_key"], "text": [redact(t) for t in b["text"]], "credentials": n})
 
     v = _values(findings)
-    texts = v.groupBy("text_key").agg(F.first("text").alias("text"))
-    clean = texts.mapInPandas(run, "text_key binary, text string, credentials int").filter("credentials > 0")
+    clean = _texts(v).mapInPandas(run, "text_key binary, text string, credentials int").filter("credentials > 0")
     return v.select("db_id", "field_name", "text_key").distinct().join(clean, "text_key").select("db_id", "field_name", F.col("text").alias("redacted_text"), "credentials")
