@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import snapshots
+from tidewatch.plans import analytics, code, snapshots
 
-_MODULES = (snapshots,)
+_MODULES = (snapshots, code, analytics)
 
 
 def queries() -> dict:
