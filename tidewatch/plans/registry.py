@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, code, snapshots
+from tidewatch.plans import analytics, code, history, snapshots
 
-_MODULES = (snapshots, code, analytics)
+_MODULES = (snapshots, code, analytics, history)
 
 
 def queries() -> dict:
