@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, code, history, snapshots
+from tidewatch.plans import analytics, code, history, snapshots, supply
 
-_MODULES = (snapshots, code, analytics, history)
+_MODULES = (snapshots, code, analytics, history, supply)
 
 
 def queries() -> dict:
