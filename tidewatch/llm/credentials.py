@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import pkgutil
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -393,8 +394,8 @@ class Crf:
         self.weights, self.transitions = weights, transitions
 
     @classmethod
-    def load(cls, path: Path = MODEL) -> Crf:
-        d = json.loads(path.read_text())
+    def load(cls) -> Crf:
+        d = json.loads(pkgutil.get_data(__name__, MODEL.name))  # also from a zipped package
         return cls(d["weights"], d["transitions"])
 
     def viterbi(self, rows: list[list[str]]) -> list[int]:
