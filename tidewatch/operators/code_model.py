@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CALL = re.compile(r"([A-Za-z_$][\w$.\->:]*)\s*(!?)\(")
-_ASSIGN = re.compile(r"^\s*(?:const|let|var|final|private|public|static|String|int|auto|my|\s)*\$?([A-Za-z_]\w*)\s*(?::\s*\w+\s*)?(?::=|=)(?!=)\s*(.+)$")
+_ASSIGN = re.compile(r"^\s*(?:(?:const|let|var|final|private|public|static|String|int|auto|my)\s+)*\$?([A-Za-z_]\w*)\s*(?::\s*\w+\s*)?(?::=|=)(?!=)\s*(.+)$")
 _NOT_CALLS = frozenset("if for while switch catch return function func def and or not in elif foreach".split())
 _MOST_ARGS = 4000
 

@@ -30,6 +30,9 @@ def ship(spark: SparkSession) -> None:
 
     Executors that join later fetch it from the driver's file server, so a lost one costs nothing.
     """
+    # Spark 4.1 may take a union of equally partitioned sides for one of their partitioning and then
+    # fail to zip it with the other side of a join ("unequal numbers of partitions").
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if getattr(sc, "_tidewatch_shipped", False):
         return
