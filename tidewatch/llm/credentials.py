@@ -15,7 +15,6 @@ cache of each worker, as the same line stands in many texts.
 from __future__ import annotations
 
 import json
-import math
 import pkgutil
 import re
 from collections.abc import Iterator
@@ -177,14 +176,22 @@ UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 
 
+#: Longer runs are not read as names; longer lines are not kept in the cache.
+LONGEST_NAME, LONGEST_CACHED = 200, 2000
+
+
 @lru_cache(maxsize=20_000)
 def parts_of(name: str) -> tuple[str, ...]:
-    return tuple(p.lower() for p in _PARTS.findall(name))
+    return tuple(p.lower() for p in _PARTS.findall(name[:LONGEST_NAME]))
 
 
-@lru_cache(maxsize=20_000)
 def name_class(name: str) -> str:
-    """What a name says about the value it governs."""
+    """What a name says about the value it governs; a very long run is no name."""
+    return _name_class(name) if len(name) <= LONGEST_NAME else "other"
+
+
+@lru_cache(maxsize=20_000)
+def _name_class(name: str) -> str:
     p = parts_of(name)
     s = set(p)
     joined = "".join(p)
@@ -212,7 +219,7 @@ def name_class(name: str) -> str:
 NAME_SHAPES = frozenset(("word", "identifier", "plain", "short", "placeholder", "mixcase"))
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def shape(value: str, quoted: bool) -> str:
     """Coarse shape of a literal."""
     if PLACEHOLDER.search(value):
@@ -432,23 +439,22 @@ def model() -> Crf:
 #: A line without any of these holds no credential: an announcing word, a user part in a URL, a flag with a value, a PEM block or a random-looking run.
 _MAYBE = re.compile(
     r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|cred|bearer|basic|login|\bsid\b|session_?id|\bpin\b|jwt|kennwort|schl[üu]ssel|mdp|clave|senha|identified\s+by|fromhex|hmac|configure|connect\(|://[^\s/@]*:[^\s/@]+@|"
-    r"\s-[pu]\s?\S|-----begin|(?-i:AKIA|ASIA|eyJ)|\b[0-9a-f]{32,}\b|(?=[A-Za-z0-9+/_-]*\d)(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}"
+    r"\s-[pu]\s?\S|-----begin|(?-i:AKIA|ASIA|eyJ)|\b[0-9a-f]{32,}\b|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{24,}"
 )
 #: The same for Spark: texts in which no line can hold one are not sent to Python. (Wider than _MAYBE; contexts need the whole text.)
 TEXT_GATE = r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|cred|bearer|basic|login|\bsid\b|session_?id|\bpin\b|jwt|kennwort|schl[üu]ssel|mdp|clave|senha|identified\s+by|fromhex|hmac|configure|connect\(|://[^\s/@]*:[^\s/@]+@|\s-[pu]\s?\S|-----begin|AKIA|ASIA|eyJ|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}"
 
 
-@lru_cache(maxsize=200_000)
-def _line_spans(line: str, mark: str) -> tuple[tuple[int, int], ...]:
+def _label(line: str, mark: str) -> tuple[tuple[int, int], ...]:
     tokens = lex(line)
     if not tokens:
         return ()
     return tuple((t.start, t.end) for t, y in zip(tokens, model().viterbi(features(tokens, mark))) if y == 3)
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s))) if n else 0.0
+@lru_cache(maxsize=100_000)
+def _label_cached(line: str, mark: str) -> tuple[tuple[int, int], ...]:
+    return _label(line, mark)
 
 
 def find(text: str) -> list[tuple[int, int]]:
@@ -459,7 +465,7 @@ def find(text: str) -> list[tuple[int, int]]:
     for (a, b), mark in zip(spans, marks):
         line = text[a:b]
         if mark or _MAYBE.search(line):
-            out += [(a + x, a + y) for x, y in _line_spans(line, mark)]
+            out += [(a + x, a + y) for x, y in (_label_cached if len(line) <= LONGEST_CACHED else _label)(line, mark)]
     return out
 
 

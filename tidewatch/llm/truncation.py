@@ -46,6 +46,8 @@ _CUT_NOTE = re.compile(r"(?i)[\[(<{]?\s*\b(?:truncated|cut off|cut|snip(?:ped)?|
 _CUT_ESCAPE = re.compile(r"&(?:#?\w{0,7})$|\\(?:u[0-9a-fA-F]{0,3})?$")
 _BROKEN = "�"
 _TAIL = 400
+#: Marks of a cut are looked for this close to the end.
+_MARK_TAIL = 80
 #: Joins the tokens of a context; a control character is never part of a token.
 SEP = "\x1f"
 
@@ -114,7 +116,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _bare(text: str) -> tuple[str, bool]:
     """The text without outer blanks and without a closing ellipsis; whether one stood there."""
     t = text.strip()
-    m = _ELLIPSIS.search(t)
+    at = max(len(t) - _MARK_TAIL, 0)
+    m = _ELLIPSIS.search(t, at)
     return (t[: m.start()].rstrip(), True) if m and m.start() > 0 else (t, False)
 
 
@@ -148,7 +151,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in b["value"]:
             t, dots = _bare(text)
-            sure = bool(_CUT_NOTE.search(t)) or t.endswith(_BROKEN) or bool(_CUT_ESCAPE.search(t)) or _open(t)
+            sure = bool(_CUT_NOTE.search(t, max(len(t) - _MARK_TAIL, 0))) or t.endswith(_BROKEN) or bool(_CUT_ESCAPE.search(t, max(len(t) - _MARK_TAIL, 0))) or _open(t)
             tail = t[-_TAIL:] if len(t) > _TAIL else t
             toks, _ = _tokens(tail)
             k = len(toks) - 1
