@@ -55,7 +55,7 @@ def composer_json(files: DataFrame) -> DataFrame:
 def go_mod(lines: DataFrame) -> DataFrame:
     """go.mod: single require lines and require blocks (running flag), indirect ones too."""
     w = W.partitionBy("file_path").orderBy("line_no")
-    t = F.trim("line")
+    t = F.btrim(F.col("line"), F.lit(" \t\r"))
     x = lines.withColumn("t", t).withColumn("mark", F.when(t.startswith("require ("), 1).when(t == ")", 0))
     x = x.withColumn("inside", F.last("mark", ignorenulls=True).over(w))
     body = F.when(F.col("t").startswith("require ") & ~F.col("t").startswith("require ("), F.substring_index("t", "require ", -1)).when((F.col("inside") == 1) & F.col("mark").isNull(), F.col("t"))
