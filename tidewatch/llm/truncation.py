@@ -156,18 +156,18 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             toks, _ = _tokens(tail)
             k = len(toks) - 1
             if k < 0:
-                rows.append((False, dots, False, "", "", "", "", ""))
+                rows.append((False, dots, False, False, "", "", "", "", ""))
                 continue
             word = toks[k] if toks[k][0].isalpha() else ""
-            rows.append((sure, dots, toks[k] in _MARKS, _context(toks, k, 3), _context(toks, k, 2), _context(toks, k, 1), _context(toks, k - 1, 2) if k else "", word))
-        out = pd.DataFrame(rows, columns=["sure", "dots", "on_mark", "c3", "c2", "c1", "before", "last_word"])
+            rows.append((sure, dots, not sure and t.endswith("```"), toks[k] in _MARKS, _context(toks, k, 3), _context(toks, k, 2), _context(toks, k, 1), _context(toks, k - 1, 2) if k else "", word))
+        out = pd.DataFrame(rows, columns=["sure", "dots", "closed", "on_mark", "c3", "c2", "c1", "before", "last_word"])
         keys = b[["record_kind", "record_id", "model", "field_name", "chars", "bytes", "at_limit"]].reset_index(drop=True)
         yield pd.concat([keys, out], axis=1)
 
 
 LOOKED = (
     "record_kind string, record_id long, model string, field_name string, chars int, bytes int, at_limit boolean, "
-    "sure boolean, dots boolean, on_mark boolean, c3 string, c2 string, c1 string, before string, last_word string"
+    "sure boolean, dots boolean, closed boolean, on_mark boolean, c3 string, c2 string, c1 string, before string, last_word string"
 )
 
 
@@ -239,10 +239,10 @@ def judged(validations: DataFrame, discoveries: DataFrame) -> DataFrame:
     x = x.withColumn("end_share", share)
     inside = F.coalesce(F.col("longer_seen") >= F.col("c3_seen"), F.lit(False))
     # A last word no other value has, after words that others have: cut inside the word.
-    unseen = (F.col("c1_seen") <= 1) & (F.coalesce("before_seen", F.lit(0)) > 0)
+    unseen = (F.col("last_word") != "") & (F.col("c1_seen") <= 1) & (F.coalesce("before_seen", F.lit(0)) > 1)
     least = F.when(F.col("at_limit") | F.col("dots"), END_SHARE_AT_LIMIT).otherwise(END_SHARE_ELSEWHERE)
     weak = inside | F.coalesce(F.col("end_share") < least, unseen)
-    return x.select("record_kind", "record_id", "model", "field_name", "chars", "bytes", "at_limit", "end_share", (F.col("sure") | weak).alias("incomplete"))
+    return x.select("record_kind", "record_id", "model", "field_name", "chars", "bytes", "at_limit", "end_share", (F.col("sure") | (weak & ~F.col("closed"))).alias("incomplete"))  # a closed fence is an end
 
 
 def found(validations: DataFrame, discoveries: DataFrame) -> DataFrame:
