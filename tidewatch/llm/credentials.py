@@ -38,7 +38,7 @@ _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\\n]|\
 _URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)+//|//(?=[\w.-]+/:)")
 _USERINFO = re.compile(r"([^\s/@'\"`:]*)(?::([^\s'\"`/]*))?@(?=[\w$\[{-])")
 _QUERY = re.compile(r"([?&;])([\w.\[\]-]+)=([^\s&'\"`#;<>]*)")
-_PAIR = re.compile(r"(?<![\w-])--?[A-Za-z][\w-]*|[^\s'\"`,;(){}<>\[\]:=]+(?:={1,2}(?![\w'\"`$=]))?|:=|=>|===?|!==?|[=:]|[^\w\s]")
+_PAIR = re.compile(r"(?<!\S)--?[A-Za-z][\w-]*(?=[\s=]|$)|[^\s'\"`,;(){}<>\[\]:=]+(?:={1,2}(?![\w'\"`$=]))?|:=|=>|===?|!==?|[=:]|[^\w\s]")
 _SHORT_FLAG = re.compile(r"-([pPuU])(?=\S)")
 #: Inside quotes: content with blanks, a URL, pairs or a scheme word is lexed further, any other is one token.
 _STRUCTURED = re.compile(r"\s|://|[?;&]\w+=|^[A-Za-z_][\w.-]*[=:](?=[^=\s])|^[^:]+:[^:]*@")
@@ -65,7 +65,7 @@ def _bare(text: str, at: int, base: int, end: int, out: list[Token]) -> None:
         if m := _URL.match(text, at, end):
             at = _url(text, at, m.end(), base, end, out)
             continue
-        if (m := _SHORT_FLAG.match(text, at, end)) and (at == 0 or text[at - 1].isspace()) and not re.match(r"-[pPuU][a-z]{3,}", text[at:end]):
+        if (m := _SHORT_FLAG.match(text, at, end)) and (at == 0 or text[at - 1].isspace()) and not (out and (out[-1].kind == "op" or name_class(out[-1].text) == "secret")) and not re.match(r"-[pPuU][a-z]{3,}", text[at:end]):
             out.append(Token(m[0], base + at, "flag"))
             at = m.end()
             continue
