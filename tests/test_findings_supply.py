@@ -48,7 +48,7 @@ def test_fold(spark):
 
 
 def test_trust_and_recalibration(spark):
-    f = rec(spark, [dict(confidence=0.9, source="a, b", ai_validated="Yes"), dict(confidence=0.8, source="pattern-engine,sentry"), dict(confidence=None, source="ast"), dict(cwe="CWE-79", severity="critical"), dict(cwe="CWE-770"), dict(cwe="CWE-94", severity="medium")])
+    f = rec(spark, [dict(confidence=0.9, source="a, b", ai_validated="Yes"), dict(confidence=0.8, source="pattern-engine,query"), dict(confidence=None, source="ast"), dict(cwe="CWE-79", severity="critical"), dict(cwe="CWE-770"), dict(cwe="CWE-94", severity="medium")])
     got = {r.db_id: (r.t, r.severity) for r in findings.recalibrated(f).withColumn("t", findings.trust_score(f)).collect()}
     assert [got[i][0] for i in (1, 2, 3)] == [100.0, 80.0, 0.0]
     assert [got[i][1] for i in (4, 5, 6)] == ["high", "low", "critical"]

@@ -45,7 +45,7 @@ BLOCKED = ("tw-log-call",)
 DEFAULT_CONFIDENCE = {"critical": 0.95, "high": 0.85, "medium": 0.70, "low": 0.50, "info": 0.40}
 CRITICAL_CWES = ("CWE-78", "CWE-89", "CWE-94", "CWE-502", "CWE-287", "CWE-918", "CWE-798")
 HIGH_CWES = ("CWE-79", "CWE-22", "CWE-352", "CWE-611", "CWE-942")
-#: Lines before and after a match that a negative pattern is looked for in (as the reference counts them).
+#: Lines before and after a match that a negative pattern is looked for in.
 NEGATIVE_BEFORE, NEGATIVE_AFTER = 11, 9
 
 
