@@ -68,3 +68,17 @@ def test_empty_null_and_long(spark):
     d = spark.createDataFrame([(1, None, "word " * 50_000 + "end.", ""), (None, "m", "x", ""), (2, "m", None, "")], D)
     assert t.found(v, d).count() == 0
     assert [r.model for r in t.rates(v, d).collect()] == ["unknown"]
+
+
+def test_hazards_use_the_risk_set(spark):
+    """A spike of 300 at 338 leaves 13 at risk, and all 13 end at 341: few against the raw counts around, many against the hazards."""
+    n = {length: 6 for length in range(300, 338)} | {3: 2, 338: 300, 341: 13}
+    rows = [("m", "f", length, 10) for length, k in n.items() for _ in range(k)]
+    h = {(r.unit, r.length): r for r in t.hazards(spark.createDataFrame(rows, "model string, field_name string, chars int, bytes int")).collect()}
+    at_risk = lambda x: sum(k for length, k in n.items() if length >= x)
+    for length, k in n.items():
+        near = [x for x in range(max(length - t.NEIGHBOURS, 1), length + t.NEIGHBOURS + 1) if x != length]
+        want = max(at_risk(length) * (sum(n.get(x, 0) for x in near) + 0.5) / sum(map(at_risk, near)), 0.02)
+        r = h["chars", length]
+        assert (r.n, r.at_risk) == (k, at_risk(length)) and abs(r.expected - want) < 1e-9
+    assert {x for (unit, x), r in h.items() if unit == "chars" and r.significant} == {338, 341}

@@ -4,8 +4,9 @@ Two kinds of evidence meet:
 
 * Discrete length hazards. For each model and field, h(L) = values of length L / values at
   least that long, in code points and in bytes, by window functions over the length histogram.
-  Each hazard is tested against those of its neighbouring lengths (upper tail of a Poisson
-  count, Chernoff bound), with Benjamini-Hochberg control of the false-discovery rate.
+  Each hazard is tested against that of its neighbouring lengths: the count against its risk
+  set times their deaths over their exposure (upper tail of a Poisson count, Chernoff bound),
+  with Benjamini-Hochberg control of the false-discovery rate.
 * Endings. A value's last tokens are looked up in the corpus of all values: how often does a
   text go on after these tokens, how often does a sentence, code block or value end there.
   Open brackets, fences, quotes, broken characters and cut escapes settle it at once.
@@ -183,10 +184,14 @@ def hazards(sized: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     by_length = g.orderBy("length")
     h = h.withColumn("at_risk", F.sum("n").over(by_length.rangeBetween(W.currentRow, W.unboundedFollowing)))
     near = by_length.rangeBetween(-neighbours, neighbours)
-    # Deaths and exposure over neighbouring lengths; lengths without values add exposure but no row, so exposure is the risk set times the span.
+    # Deaths and exposure over the neighbouring lengths from 1 on. Exposure is the sum of their risk sets, also at lengths without
+    # a row: a value in reach is at risk at each of them up to its own length, a longer one at all of them.
     others = F.sum("n").over(near) - F.col("n")
-    span = F.least(F.lit(2 * neighbours), F.max("length").over(g) - F.min("length").over(g)).cast("double")
-    expected = F.greatest((others + 0.5) / F.greatest(span, F.lit(1.0)), F.lit(0.02))
+    low = F.greatest(F.col("length").cast("long") - neighbours, F.lit(1))
+    beyond = F.coalesce(F.sum("n").over(by_length.rangeBetween(neighbours + 1, W.unboundedFollowing)), F.lit(0))
+    reach = F.sum(F.col("length").cast("long") * F.col("n")).over(near) - (low - 1) * F.sum("n").over(near)
+    exposure = reach + beyond * (F.col("length") + neighbours - low + 1) - F.col("at_risk")
+    expected = F.greatest(F.col("at_risk") * (others + 0.5) / F.greatest(exposure, F.lit(1)), F.lit(0.02))
     h = h.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("expected", expected)
     n, mu = F.col("n").cast("double"), F.col("expected")
     h = h.withColumn("log_p", F.when(n > mu, -(n * F.ln(n / mu) - n + mu)).otherwise(0.0))
