@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,16 @@ def test_taint_and_checks(spark):
     assert [(v, s, n, h) for v, s, n, h, _, _ in code_model.flows(code)] == [("b", 2, 4, 1)]
     files = spark.createDataFrame([("a.py", "python", "x = eval(f(1))\npassword = 'hunter22'\n"), ("b.txt", "", "eval(1)"), ("c.py", "python", "")], "file_path string, syntax string, content string")
     assert {(r.check_id, r.file_path, r.line_no) for r in code_model.checks(code_model.calls(files)).collect()} == {("eval-call", "a.py", 1), ("literal-secret", "a.py", 2)}
+
+
+def test_fixed_versions_of_the_own_package(spark):
+    def affected(name, eco, *fixed):
+        return {"package": {"name": name, "ecosystem": eco}, "ranges": [{"events": [{"introduced": "0"}, *({"fixed": f} for f in fixed)]}]}
+
+    several = [affected("other", "npm", "1"), affected("twin", "PyPI", "2"), affected("p", "PyPI", "3", "4"), affected("p", "npm", "5")]
+    foreign = [affected("other", "npm", "6")]
+    cli = {"results": [{"packages": [{"package": {"name": "p", "ecosystem": "PyPI"}, "vulnerabilities": [{"id": "a", "affected": several}, {"id": "b", "affected": foreign}]}]}]}
+    rows = [(1, json.dumps(cli)), (2, json.dumps({"vulns": [{"id": "a", "affected": several}]}))]
+    got = {(r.result_id, r.node_path): (r.first_fixed, r.last_fixed) for r in supply.fixed_versions(spark.createDataFrame(rows, "result_id long, payload string")).collect()}
+    above = "results[0].packages[0].vulnerabilities"
+    assert got == {(1, f"{above}[0]"): ("2", "4"), (1, f"{above}[1]"): ("unknown", "latest"), (2, "vulns[0]"): ("1", "5")}

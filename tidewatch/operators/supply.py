@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import nested_tables as n
+from tidewatch.session import cut
 
 # Well-known packages a misspelled name is compared with.
 POPULAR = "react vue angular lodash express axios moment jquery webpack typescript requests numpy pandas flask django scipy urllib3 boto3 cryptography pyyaml rails rspec sinatra spring-core log4j junit".split()
@@ -44,13 +45,27 @@ def advisory_severity(results: DataFrame) -> DataFrame:
 
 
 def fixed_versions(results: DataFrame) -> DataFrame:
-    """result_id, node_path, first_fixed, last_fixed of each vulnerability by position; unknown and latest without one."""
-    nodes = n.nodes(results)
+    """result_id, node_path, first_fixed, last_fixed of each vulnerability by position; unknown and latest without one.
+
+    Only affected entries of the package above the vulnerability count: those of its ecosystem for the first,
+    those of its ecosystem and name for the last; an absent name or ecosystem is an empty one. Top-level
+    ``vulns`` have no package above and the payload doesn't name their dependency: all their entries count.
+    """
+    nodes = cut(n.nodes(results))
     ev = n.flat_table(nodes, "event").filter(F.coalesce("fixed", F.lit("")) != "")
     place = F.transform(F.regexp_extract_all("node_path", F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))
-    ev = ev.select("result_id", F.regexp_extract("node_path", r"^(.*(?:vulns|vulnerabilities)\[\d+\])", 1).alias("node_path"), "fixed", place.alias("at"))
-    g = ev.groupBy("result_id", "node_path").agg(F.min(F.struct("at", "fixed")).alias("lo"), F.max(F.struct("at", "fixed")).alias("hi"))
-    v = n.flat_table(nodes, "vulnerability").select("result_id", "node_path")
+    ev = ev.select("result_id", n.parent_path(F.col("parent_path")).alias("affected_path"), F.struct(place.alias("at"), "fixed").alias("e"))
+
+    def named(kind: str, prefix: str, *more: str) -> DataFrame:
+        return n.flat_table(nodes, kind).select("result_id", F.col("node_path").alias(f"{prefix}_path"), *more, *[F.coalesce(c, F.lit("")).alias(f"{prefix}_{c}") for c in ("package_name", "ecosystem")])
+
+    affected = named("affected", "affected", F.col("parent_path").alias("node_path"))
+    v = n.flat_table(nodes, "vulnerability").select("result_id", "node_path", F.col("parent_path").alias("own_path"))
+    x = ev.join(affected, ["result_id", "affected_path"]).join(v, ["result_id", "node_path"]).join(named("package", "own"), ["result_id", "own_path"], "left")
+    alone = F.col("own_path") == ""
+    eco = alone | (F.col("affected_ecosystem") == F.col("own_ecosystem"))
+    both = alone | (eco & (F.col("affected_package_name") == F.col("own_package_name")))
+    g = x.groupBy("result_id", "node_path").agg(F.min(F.when(eco, F.col("e"))).alias("lo"), F.max(F.when(both, F.col("e"))).alias("hi"))
     return v.join(g, ["result_id", "node_path"], "left").select("result_id", "node_path", F.coalesce("lo.fixed", F.lit("unknown")).alias("first_fixed"), F.coalesce("hi.fixed", F.lit("latest")).alias("last_fixed"))
 
 
