@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +76,20 @@ def test_spark_spans(spark):
     red = {(r.db_id, r.field_name): r.redacted_text for r in c.redacted(df).collect()}
     assert red[1, "code_snippet"] == f'password = "{c.REDACTED}"'
     assert c.spans(df.limit(0)).count() == 0
+
+
+def test_gates_pass_every_name_that_announces():
+    names = {w for w in c.SECRET_WORDS | c.LOGIN_CALLS | c.CRYPTO_CALLS} | {f"{p}{sep}key" for p in c.KEY_PARTNERS for sep in ("", "_", "-")}
+    names |= {"key", "k", "session_id", "kenn_wort", "p_w"}
+    forms = {f for w in names for f in (w, w.upper(), f"db_{w}", f"DB_{w.upper()}", f"db{w.capitalize()}", f"{w}_x")}
+    wide = re.compile(c.TEXT_GATE)
+    for f in sorted(f for f in forms if c.name_class(f) in ("secret", "key", "login", "crypto")):
+        assert c._MAYBE.search(f"{f} = 'x'") and wide.search(f"{f} = 'x'"), f
+    for w in ("hmac", "cipher", "secretkeyspec", "aes", "sign(", "encrypt", "verify("):
+        assert wide.search(w), w
+
+
+def test_names_with_secret_parts(spark):
+    rows = [(i, f'{name} = "Tr0ub4dor&3"', None) for i, name in enumerate(["db_pw", "DB_PW", "dbPw", "adminPw", "psw", "contraseña", "CONTRASEÑA", "parole"])]
+    got = {r.db_id for r in c.spans(spark.createDataFrame(rows, "db_id long, code_snippet string, exploit_poc string")).collect()}
+    assert got == {r[0] for r in rows}

@@ -7,8 +7,8 @@ O the rest. The weights come from ``credential_training`` (credential_crf.json b
 file): trained on generated, exactly labelled code, none of it from the data.
 
 At scale: texts repeat over scans, so each distinct text is labelled once; texts and, inside
-them, lines without any place for a credential (no announcing word, no random-looking literal)
-are all O by construction of the features and skip the model. Labelled lines are kept in a small
+them, lines without any place for a credential (no word that name_class calls secret, key, login or
+crypto, no random-looking literal) skip the model. Labelled lines are kept in a small
 cache of each worker, as the same line stands in many texts.
 """
 
@@ -436,13 +436,19 @@ def model() -> Crf:
     return Crf.load()
 
 
+def _gate_words() -> str:
+    """A pattern of all words by which name_class calls a name key, secret, login or crypto, as parts or joined: without
+    word boundaries, with marks between the letters. Words that hold another one are left to it."""
+    words = SECRET_WORDS | LOGIN_CALLS | CRYPTO_CALLS | {"key", "auth", "cred"}
+    least = sorted(w for w in words if not any(x != w and x in w for x in words))
+    return "|".join(r"[^A-Za-z0-9\s]*".join(c if c.isascii() else f"[{c}{c.upper()}]" for c in w) for w in least) + r"|(?<![A-Za-z])k(?![A-Za-z])|schlussel"
+
+
+_GATE = rf"(?i){_gate_words()}|://[^\s/@]*:[^\s/@]+@|(?<!\S)-[pu]\s?\S|-----begin|"
 #: A line without any of these holds no credential: an announcing word, a user part in a URL, a flag with a value, a PEM block or a random-looking run.
-_MAYBE = re.compile(
-    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|cred|bearer|basic|login|\bsid\b|session_?id|\bpin\b|jwt|kennwort|schl[üu]ssel|mdp|clave|senha|identified\s+by|fromhex|hmac|configure|connect\(|://[^\s/@]*:[^\s/@]+@|"
-    r"\s-[pu]\s?\S|-----begin|(?-i:AKIA|ASIA|eyJ)|\b[0-9a-f]{32,}\b|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{24,}"
-)
-#: The same for Spark: texts in which no line can hold one are not sent to Python. (Wider than _MAYBE; contexts need the whole text.)
-TEXT_GATE = r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|cred|bearer|basic|login|\bsid\b|session_?id|\bpin\b|jwt|kennwort|schl[üu]ssel|mdp|clave|senha|identified\s+by|fromhex|hmac|configure|connect\(|://[^\s/@]*:[^\s/@]+@|\s-[pu]\s?\S|-----begin|AKIA|ASIA|eyJ|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}"
+_MAYBE = re.compile(_GATE + r"(?-i:AKIA|ASIA|eyJ)|\b[0-9a-f]{32,}\b|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{24,}")
+#: The same for Spark: texts in which no line can hold one are not sent to Python. (Wider than _MAYBE; with the words after which contexts looks for keys.)
+TEXT_GATE = _GATE + r"cipher|keyspec|verify|AKIA|ASIA|eyJ|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}"
 
 
 def _label(line: str, mark: str) -> tuple[tuple[int, int], ...]:
