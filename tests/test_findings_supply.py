@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,33 @@ def test_fixed_versions_of_the_own_package(spark):
     got = {(r.result_id, r.node_path): (r.first_fixed, r.last_fixed) for r in supply.fixed_versions(spark.createDataFrame(rows, "result_id long, payload string")).collect()}
     above = "results[0].packages[0].vulnerabilities"
     assert got == {(1, f"{above}[0]"): ("2", "4"), (1, f"{above}[1]"): ("unknown", "latest"), (2, "vulns[0]"): ("1", "5")}
+
+
+def test_long_arguments_are_kept_whole(spark):
+    long = "cur.execute('''SELECT a\n" + "  , column_of_a_long_statement\n" * 300 + "''' % name)\n"
+    files = spark.createDataFrame([("a.py", "python", long)], "file_path string, syntax string, content string")
+    assert [(r.check_id, r.line_no) for r in code_model.checks(code_model.calls(files)).collect()] == [("sql-format", 1)]
+
+
+def test_ends_of_brackets_as_read_from_each_start():
+    def end(text, at):
+        depth, quote = 0, ""
+        for i in range(at, len(text)):
+            ch = text[i]
+            if quote:
+                quote = "" if (ch == quote and text[i - 1] != "\\") or (ch == "\n" and quote != "`") else quote
+            elif ch in "'\"`":
+                quote = ch
+            elif ch in "([{":
+                depth += 1
+            elif ch in ")]}":
+                depth -= 1
+                if depth == 0:
+                    return i + 1
+        return len(text)
+
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice("a((()))[]{}'\"`\\\n") for _ in range(r.randint(0, 60)))
+        starts = [i for i, ch in enumerate(text) if ch == "(" and r.random() < 0.7]
+        assert code_model._ends(text, starts) == {i: end(text, i) for i in starts}, text

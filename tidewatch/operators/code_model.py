@@ -5,6 +5,7 @@ Files are scanned whole in Arrow batches (one pass, no exchange); checks are pla
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -15,48 +16,70 @@ from pyspark.sql import functions as F
 _CALL = re.compile(r"([A-Za-z_$][\w$.\->:]*)\s*(!?)\(")
 _ASSIGN = re.compile(r"^\s*(?:(?:const|let|var|final|private|public|static|String|int|auto|my)\s+)*\$?([A-Za-z_]\w*)\s*(?::\s*\w+\s*)?(?::=|=)(?!=)\s*(.+)$")
 _NOT_CALLS = frozenset("if for while switch catch return function func def and or not in elif foreach".split())
-_MOST_ARGS = 4000
-
-
-def _balanced(text: str, at: int) -> int:
-    """End of the bracketed part that opens at ``at``; the text's end if it never closes."""
-    depth, quote = 0, ""
-    for i in range(at, len(text)):
-        ch = text[i]
-        if quote:
-            if ch == quote and text[i - 1] != "\\":
-                quote = ""
-            elif ch == "\n" and quote != "`":
-                quote = ""
-        elif ch in "'\"`":
-            quote = ch
-        elif ch in "([{":
-            depth += 1
-        elif ch in ")]}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        if i - at > _MOST_ARGS:
-            return i
-    return len(text)
+_MARK = re.compile(r"[\n'\"`()\[\]{}]")
+#: Characters of arguments in one frame handed to Spark.
+_FRAME = 32_000_000
+
+
+def _ends(text: str, starts: list[int]) -> dict[int, int]:
+    """End of the bracketed part that opens at each start, read from there outside of quotes; the text's end if it never closes.
+
+    One pass over all starts. Readings that are in the same quote go on alike, so there are at most four: each has its depth and
+    a heap of its open starts by the depth at which they close, and where two meet, the smaller heap joins the larger.
+    """
+    out: dict[int, int] = {}
+    at = set(starts)
+    live: dict[str, tuple[int, list]] = {}
+    for m in _MARK.finditer(text):
+        i, ch = m.start(), m[0]
+        if i in at:
+            depth, heap = live.setdefault("", (0, []))
+            heapq.heappush(heap, (-depth, i))
+        after: dict[str, tuple[int, list]] = {}
+        for quote, (depth, heap) in live.items():
+            if quote:
+                if (ch == quote and text[i - 1] != "\\") or (ch == "\n" and quote != "`"):
+                    quote = ""
+            elif ch in "'\"`":
+                quote = ch
+            elif ch in "([{":
+                depth += 1
+            elif ch in ")]}":
+                depth -= 1
+                while heap and -heap[0][0] == depth:
+                    out[heapq.heappop(heap)[1]] = i + 1
+            if not heap:
+                continue
+            if quote in after:
+                (depth, heap), (d, small) = sorted((after[quote], (depth, heap)), key=lambda x: -len(x[1]))
+                for x, k in small:
+                    heapq.heappush(heap, (x + d - depth, k))
+            after[quote] = (depth, heap)
+        live = after
+    return {k: out.get(k, len(text)) for k in starts}
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["file_path", "syntax", "node", "line_no", "fn", "args", "value"]
     for b in batches:
-        rows = []
+        rows, size = [], 0
         for path, syntax, text in zip(b["file_path"], b["syntax"], b["content"]):
             line, seen = 1, 0
-            for m in _CALL.finditer(text):
-                name = m[1]
-                if name in _NOT_CALLS:
-                    continue
+            found = [m for m in _CALL.finditer(text) if m[1] not in _NOT_CALLS]
+            ends = _ends(text, [m.end() - 1 for m in found])
+            for m in found:
                 line += text.count("\n", seen, m.start())
                 seen = m.start()
-                rows.append((path, syntax, "call", line, name, text[m.end() - 1 : _balanced(text, m.end() - 1)], ""))
+                args = text[m.end() - 1 : ends[m.end() - 1]]
+                rows.append((path, syntax, "call", line, m[1], args, ""))
+                size += len(args)
+                if size > _FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
             for n, row in enumerate(text.split("\n"), 1):
                 if a := _ASSIGN.match(row):
                     rows.append((path, syntax, "assign", n, "", a[1], a[2].strip()))
-        yield pd.DataFrame(rows, columns=["file_path", "syntax", "node", "line_no", "fn", "args", "value"])
+        yield pd.DataFrame(rows, columns=names)
 
 
 def calls(files: DataFrame) -> DataFrame:
