@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewatch.operators import code_model, findings, history, supply
+from tidewatch.plans import registry
 from tidewatch.sources import manifests
 
 RAW = "db_id long, scan_id string, phase string, issue_name string, file_path string, description string, severity string, line_number string, ai_validated string, remediation string, rule_id string, source string, cwe string, owasp string, confidence double, status string, family string, line int"
@@ -159,3 +160,13 @@ def test_ends_of_brackets_as_read_from_each_start():
         text = "".join(r.choice("a((()))[]{}'\"`\\\n") for _ in range(r.randint(0, 60)))
         starts = [i for i, ch in enumerate(text) if ch == "(" and r.random() < 0.7]
         assert code_model._ends(text, starts) == {i: end(text, i) for i in starts}, text
+
+
+def test_typosquat_packages_reads_the_table(spark, tmp_path):
+    def payload(*names):
+        return json.dumps({"results": [{"packages": [{"package": {"name": x, "ecosystem": "npm", "version": "1"}} for x in names]}]})
+
+    rows = [(1, payload("expresss", "react", "left-pad")), (2, "log\n" + payload("webpak", "expresss"))]
+    spark.createDataFrame(rows, "result_id long, payload string").write.parquet(str(tmp_path / "osv_results.parquet"))
+    got = registry.queries()["typosquat_packages"](spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.lookalike) for r in got) == [("expresss", "express"), ("webpak", "webpack")]

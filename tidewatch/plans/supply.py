@@ -30,6 +30,11 @@ def typosquat(spark, sf):
     return supply.typosquats(manifests.requirements(_requirement_lines(spark)))
 
 
+def typosquat_packages(spark, sf):
+    """typosquat over every package name of the data; typosquat itself has its SQL over the fixed lines."""
+    return supply.typosquats(supply.packages(table(spark, sf, "osv_results")))
+
+
 def advisory_join(spark, sf):
     r = table(spark, sf, "osv_results")
     return supply.advisories_of(supply.packages(r), r)
@@ -97,7 +102,7 @@ p AS (SELECT n, CASE WHEN contains(l, '==') THEN split_part(l, '==', 1) WHEN con
 QUERIES = {
     f.__name__: f
     for f in (
-        dependency_parse, typosquat, advisory_join, cvss_severity, fixed_version, sbom_components, dockerfile_rules, k8s_rules, fp_suppression, sarif_rules, sarif_results, csv_rows, top_findings,
+        dependency_parse, typosquat, typosquat_packages, advisory_join, cvss_severity, fixed_version, sbom_components, dockerfile_rules, k8s_rules, fp_suppression, sarif_rules, sarif_results, csv_rows, top_findings,
         ast_checks, taint_flow, stream_event_windows,
     )
 }
