@@ -6,10 +6,10 @@ S a credential's literal value, N the name or scheme word that announces it, L w
 O the rest. The weights come from ``credential_training`` (credential_crf.json beside this
 file): trained on generated, exactly labelled code, none of it from the data.
 
-At scale: texts repeat over scans, so each distinct text is labelled once; texts and, inside
-them, lines without any place for a credential (no word that name_class calls secret, key, login or
-crypto, no random-looking literal) skip the model. Labelled lines are kept in a small
-cache of each worker, as the same line stands in many texts.
+At scale: texts repeat over scans, so each distinct text is labelled once. Every line of it goes
+through the model; nothing is left out beforehand. What makes that cheap is that the features
+see of a token only its kind, shape, name class and few more marks: lines that agree in these
+(``skeleton``) have the same Viterbi path, which each worker keeps.
 """
 
 from __future__ import annotations
@@ -17,18 +17,21 @@ from __future__ import annotations
 import json
 import pkgutil
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("O", "N", "L", "S")
 MODEL = Path(__file__).with_name("credential_crf.json")
 FIELDS = ("code_snippet", "exploit_poc")
-REDACTED = "[REDACTED]"
+#: Stands for a value: a plain word in code, YAML, shell and URLs, valid base64 in a secret manifest.
+REDACTED = "REDACTED"
+#: Stands for a bare number, where a word would not be a literal.
+REDACTED_NUMBER = "0"
 
 # --- lexer ------------------------------------------------------------------------------------
 
@@ -40,6 +43,10 @@ _USERINFO = re.compile(r"([^\s/@'\"`:]*)(?::([^\s'\"`/]*))?@(?=[\w$\[{-])")
 _QUERY = re.compile(r"([?&;])([\w.\[\]-]+)=([^\s&'\"`#;<>]*)")
 _PAIR = re.compile(r"(?<!\S)--?[A-Za-z][\w-]*(?=[\s=]|$)|[^\s'\"`,;(){}<>\[\]:=]+(?:={1,2}(?![\w'\"`$=]))?|:=|=>|===?|!==?|[=:]|[^\w\s]")
 _SHORT_FLAG = re.compile(r"-([pPuU])(?=\S)")
+_LONG_FLAG = re.compile(r"-[pPuU][a-z]{3,}")
+_FLAG = re.compile(r"--?[A-Za-z][\w-]*")
+_SINGLE = frozenset(",;(){}<>[]")
+_OPS = frozenset((":=", "=>", "=", ":", "==", "===", "!=", "!=="))
 #: Inside quotes: content with blanks, a URL, pairs or a scheme word is lexed further, any other is one token.
 _STRUCTURED = re.compile(r"\s|://|[?;&]\w+=|^[A-Za-z_][\w.-]*[=:](?=[^=\s])|^[^:]+:[^:]*@")
 
@@ -53,19 +60,24 @@ class Token:
 
 def _bare(text: str, at: int, base: int, end: int, out: list[Token]) -> None:
     """Lex text[at:end] outside of quotes; ``base`` is added to offsets."""
+    urls = text.find("//", at, end) >= 0
     while at < end:
         ch = text[at]
         if ch.isspace():
             at += 1
             continue
+        if ch in _SINGLE:
+            out.append(Token(ch, base + at, "punct"))
+            at += 1
+            continue
         if ch in "'\"`" and (m := _STRING.match(text, at, end)):
             _quoted(text, at, m.end(), base, out)
             at = m.end()
             continue
-        if m := _URL.match(text, at, end):
+        if urls and (m := _URL.match(text, at, end)):
             at = _url(text, at, m.end(), base, end, out)
             continue
-        if (m := _SHORT_FLAG.match(text, at, end)) and (at == 0 or text[at - 1].isspace()) and not (out and (out[-1].kind == "op" or name_class(out[-1].text) == "secret")) and not re.match(r"-[pPuU][a-z]{3,}", text[at:end]):
+        if ch == "-" and (m := _SHORT_FLAG.match(text, at, end)) and (at == 0 or text[at - 1].isspace()) and not (out and (out[-1].kind == "op" or name_class(out[-1].text) == "secret")) and not _LONG_FLAG.match(text, at, end):
             out.append(Token(m[0], base + at, "flag"))
             at = m.end()
             continue
@@ -76,8 +88,8 @@ def _bare(text: str, at: int, base: int, end: int, out: list[Token]) -> None:
         t = m[0]
         if len(t) > 1 and t[0] not in ":=!" and t[-1] in ".,":
             t = t.rstrip(".,") or t
-        kind = "word" if t[0].isalnum() or len(t) > 3 or t[0] in "_$" and len(t) > 1 else "op" if t in (":=", "=>", "=", ":", "==", "===", "!=", "!==") else "punct"
-        if t[0] == "-" and re.fullmatch(r"--?[A-Za-z][\w-]*", t):
+        kind = "word" if t[0].isalnum() or len(t) > 3 or t[0] in "_$" and len(t) > 1 else "op" if t in _OPS else "punct"
+        if ch == "-" and _FLAG.fullmatch(t):
             kind = "flag" if len(t) < 24 and not any(c.isdigit() for c in t) else "word"
         out.append(Token(t, base + at, kind))
         at += len(t)
@@ -128,7 +140,7 @@ def _quoted(text: str, at: int, end: int, base: int, out: list[Token]) -> None:
 
 def lines(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each line; a PEM block and what stands on its lines is one line."""
-    blocks = [m.span() for m in _PEM.finditer(text)]
+    blocks = [m.span() for m in _PEM.finditer(text)] if "-----BEGIN" in text else []
     at, k = 0, 0
     while at <= len(text):
         end = text.find("\n", at)
@@ -147,7 +159,7 @@ def lex(line: str) -> list[Token]:
     out: list[Token] = []
     m = _GUTTER.match(line)
     at = m.end() if m else 0
-    for p in _PEM.finditer(line):
+    for p in _PEM.finditer(line) if "-----BEGIN" in line else ():
         _bare(line, at, 0, p.start(), out)
         out.append(Token(p[0], p.start(), "pem" if p[2].startswith("PRIVATE") else "public"))
         at = p.end()
@@ -176,22 +188,24 @@ UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 
 
-#: Longer runs are not read as names; longer lines are not kept in the cache.
-LONGEST_NAME, LONGEST_CACHED = 200, 2000
+#: Longer tokens and lines are not kept in the caches; they are read the same way.
+LONGEST_KEPT = 200
 
 
-@lru_cache(maxsize=20_000)
-def parts_of(name: str) -> tuple[str, ...]:
-    return tuple(p.lower() for p in _PARTS.findall(name[:LONGEST_NAME]))
+def _kept(f: Callable) -> Callable:
+    """Keep the results for short texts."""
+    known = lru_cache(maxsize=50_000)(f)
+    return lambda text, *more: known(text, *more) if len(text) <= LONGEST_KEPT else f(text, *more)
 
 
-def name_class(name: str) -> str:
-    """What a name says about the value it governs; a very long run is no name."""
-    return _name_class(name) if len(name) <= LONGEST_NAME else "other"
+@_kept
+def parts_of(name: str) -> tuple[str, ...]:
+    return tuple(p.lower() for p in _PARTS.findall(name))
 
 
-@lru_cache(maxsize=20_000)
-def _name_class(name: str) -> str:
+@_kept
+def name_class(name: str) -> str:
+    """What a name says about the value it governs."""
     p = parts_of(name)
     s = set(p)
     joined = "".join(p)
@@ -219,7 +233,7 @@ def _name_class(name: str) -> str:
 NAME_SHAPES = frozenset(("word", "identifier", "plain", "short", "placeholder", "mixcase"))
 
 
-@lru_cache(maxsize=20_000)
+@_kept
 def shape(value: str, quoted: bool) -> str:
     """Coarse shape of a literal."""
     if PLACEHOLDER.search(value):
@@ -358,6 +372,9 @@ def features(tokens: list[Token], context: str = "") -> list[list[str]]:
 _K8S_SECRET = re.compile(r"(?m)^[^\S\n]*(?:[→>]?[^\S\n]*\d+ ?\| ?)?kind:[^\S\n]*Secret[^\S\n]*$")
 _DATA_HEAD = re.compile(r"^\s*(?:[→>]?\s*\d+ ?\| ?)?(?:string)?[dD]ata:\s*$")
 _ASSIGNED = re.compile(r"(?:^|[\s|])(?:const|let|var|final|String|auto|byte\[\])?\s*([A-Za-z_]\w*)\s*:?=\s*['\"]")
+_KEYED = re.compile(r"(?i)(?:hmac|cipher\w*|secretkeyspec|aes(?:\.new)?|sign|encrypt|verify)\([^()\n]*?\b([A-Za-z_]\w*)\s*[,)]")
+_KEY_USE = re.compile(r"(?i)hmac|cipher|keyspec|aes|sign\(|encrypt|verify\(")
+_MAY_GO_ON = frozenset("+.\\")
 _CONTINUES = re.compile(r"['\"]\s*(?:\+|\.|\\|\+\s*\\)\s*$")
 _LITERAL_ONLY = re.compile(r"^\s*(?:[→>]?\s*\d+ ?\| ?)?\s*(?:[+.]\s*)?(['\"])[^'\"\s]+\1\s*[;,)]?\s*(?:[+\\.]\s*\\?)?\s*$")
 
@@ -366,8 +383,8 @@ def contexts(text: str, spans: list[tuple[int, int]]) -> list[str]:
     """A mark for each line: 'secretdata' below ``data:`` of a secret manifest, 'hmac' where the assigned
     name is used as a key elsewhere in the text, 'continued' for a literal that continues an announced one."""
     marks = [""] * len(spans)
-    manifest = _K8S_SECRET.search(text) is not None
-    keyed = set(re.findall(r"(?i)(?:hmac|cipher\w*|secretkeyspec|aes(?:\.new)?|sign|encrypt|verify)\([^()\n]*?\b([A-Za-z_]\w*)\s*[,)]", text)) if re.search(r"(?i)hmac|cipher|keyspec|aes|sign\(|encrypt|verify\(", text) else set()
+    manifest = "Secret" in text and _K8S_SECRET.search(text) is not None
+    keyed = set(_KEYED.findall(text)) if "(" in text and _KEY_USE.search(text) else set()
     below = False
     announced = False
     for n, (a, b) in enumerate(spans):
@@ -384,10 +401,12 @@ def contexts(text: str, spans: list[tuple[int, int]]) -> list[str]:
             marks[n] = "continued"
             announced = bool(_CONTINUES.search(line)) or line.rstrip().endswith(("+", "\\"))
             continue
-        m = _ASSIGNED.search(line)
-        if m and m[1] in keyed:
-            marks[n] = "hmac"
-        announced = bool(_CONTINUES.search(line)) and m is not None and name_class(m[1]) == "secret"
+        goes_on = line.rstrip()[-1:] in _MAY_GO_ON and _CONTINUES.search(line) is not None
+        announced = False
+        if (keyed or goes_on) and (m := _ASSIGNED.search(line)):
+            if m[1] in keyed:
+                marks[n] = "hmac"
+            announced = goes_on and name_class(m[1]) == "secret"
     return marks
 
 
@@ -436,52 +455,78 @@ def model() -> Crf:
     return Crf.load()
 
 
-def _gate_words() -> str:
-    """A pattern of all words by which name_class calls a name key, secret, login or crypto, as parts or joined: without
-    word boundaries, with marks between the letters. Words that hold another one are left to it."""
-    words = SECRET_WORDS | LOGIN_CALLS | CRYPTO_CALLS | {"key", "auth", "cred"}
-    least = sorted(w for w in words if not any(x != w and x in w for x in words))
-    return "|".join(r"[^A-Za-z0-9\s]*".join(c if c.isascii() else f"[{c}{c.upper()}]" for c in w) for w in least) + r"|(?<![A-Za-z])k(?![A-Za-z])|schlussel"
+_VALUE_KINDS = frozenset(("word", "string", "urlpass", "flag", "user"))
+_READ_KINDS = frozenset(("punct", "op", "quote", "flag"))
+_READ_WORDS = frozenset(("value", "val", "default", "by", "is", "ist", "with"))
 
 
-_GATE = rf"(?i){_gate_words()}|://[^\s/@]*:[^\s/@]+@|(?<!\S)-[pu]\s?\S|-----begin|"
-#: A line without any of these holds no credential: an announcing word, a user part in a URL, a flag with a value, a PEM block or a random-looking run.
-_MAYBE = re.compile(_GATE + r"(?-i:AKIA|ASIA|eyJ)|\b[0-9a-f]{32,}\b|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{24,}")
-#: The same for Spark: texts in which no line can hold one are not sent to Python. (Wider than _MAYBE; with the words after which contexts looks for keys.)
-TEXT_GATE = _GATE + r"cipher|keyspec|verify|AKIA|ASIA|eyJ|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}"
+@_kept
+def _marks(text: str, kind: str, quoted: bool) -> tuple[tuple, tuple[tuple, ...]]:
+    """What the features see of a token by itself, and what they compare with other tokens."""
+    low, last = text.lower(), text.rsplit(".", 1)[-1]
+    read = text if len(text) < 3 or text in _READ_WORDS else low if low in _READ_WORDS or kind == "flag" else ""
+    own = (kind, quoted, read, text[0].isalpha(), shape(text, quoted), name_class(text), name_class(last) if last else "", low in LOGIN_CALLS, last.lower() in LOGIN_CALLS)
+    same = (("l", low), ("p", parts_of(text)))
+    return own, same if last == text else (*same, ("l", last.lower()), ("p", parts_of(last)))
 
 
-def _label(line: str, mark: str) -> tuple[tuple[int, int], ...]:
-    tokens = lex(line)
-    if not tokens:
-        return ()
-    return tuple((t.start, t.end) for t, y in zip(tokens, model().viterbi(features(tokens, mark))) if y == 3)
+def skeleton(tokens: list[Token], mark: str) -> tuple:
+    """All that ``features`` reads of a line: lines of one skeleton have the same features."""
+    seen: dict[tuple, int] = {("l", "password"): -1, ("p", ("password",)): -2}
+    key: list = [mark]
+    after_quote = False
+    last = len(tokens) - 1
+    for i, t in enumerate(tokens):
+        kind = t.kind
+        if kind in _VALUE_KINDS:
+            own, compared = _marks(t.text, kind, kind == "string" or (after_quote and i < last))
+            key.append(own)
+            for x in compared:
+                key.append(seen.setdefault(x, i))
+        else:
+            key.append((kind, t.text if len(t.text) < 3 or kind in _READ_KINDS else ""))
+        after_quote = kind == "quote"
+    return tuple(key)
 
 
-@lru_cache(maxsize=100_000)
-def _label_cached(line: str, mark: str) -> tuple[tuple[int, int], ...]:
-    return _label(line, mark)
+_PATHS: dict[tuple, tuple[int, ...]] = {}
+#: Paths a worker keeps; beyond that it starts anew.
+MOST_PATHS = 50_000
+
+
+@_kept
+def _label(line: str, mark: str) -> list[tuple[int, int]]:
+    tokens = lex(line)
+    if not tokens:
+        return []
+    key = skeleton(tokens, mark)
+    hits = _PATHS.get(key)
+    if hits is None:
+        hits = tuple(i for i, y in enumerate(model().viterbi(features(tokens, mark))) if y == 3)
+        if len(key) <= LONGEST_KEPT:
+            if len(_PATHS) >= MOST_PATHS:
+                _PATHS.clear()
+            _PATHS[key] = hits
+    return [(tokens[i].start, tokens[i].end) for i in hits]
 
 
 def find(text: str) -> list[tuple[int, int]]:
     """(start, end) of each credential in code points."""
     spans = list(lines(text))
-    marks = contexts(text, spans)
-    out = []
-    for (a, b), mark in zip(spans, marks):
-        line = text[a:b]
-        if mark or _MAYBE.search(line):
-            out += [(a + x, a + y) for x, y in (_label_cached if len(line) <= LONGEST_CACHED else _label)(line, mark)]
-    return out
+    return [(a + x, a + y) for (a, b), mark in zip(spans, contexts(text, spans)) for x, y in _label(text[a:b], mark)]
 
 
 # --- Spark ------------------------------------------------------------------------------------
 
 
+#: Parts of a text's rows in the join.
+SALTS = 8
+
+
 def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(k, s, e) for k, t in zip(b["text_key"], b["text"]) for s, e in find(t)]
-        yield pd.DataFrame(rows, columns=["text_key", "start_pos", "end_pos"])
+        rows = [(k, [{"start_pos": s, "end_pos": e} for s, e in f]) for k, t in zip(b["text_key"], b["text"]) if (f := find(t))]
+        yield pd.DataFrame(rows, columns=["text_key", "spans"])
 
 
 def _values(findings: DataFrame) -> DataFrame:
@@ -491,8 +536,15 @@ def _values(findings: DataFrame) -> DataFrame:
 
 
 def _texts(v: DataFrame) -> DataFrame:
-    """Distinct texts in which a credential may stand. The gate runs after the (hash-aggregated) distinct: texts repeat."""
-    return v.select("text", "text_key").distinct().filter(F.col("text").rlike(TEXT_GATE))
+    """Distinct texts: they repeat over scans."""
+    return v.select("text", "text_key").distinct()
+
+
+def _joined(v: DataFrame, hits: DataFrame, *columns: str | Column) -> DataFrame:
+    """Values with the result of their text. A text that many rows quote is split: rows take one of SALTS parts of it, the result stands in all."""
+    rows = v.select("db_id", "field_name", "text_key").distinct().withColumn("salt", F.pmod(F.xxhash64("db_id"), F.lit(SALTS)).cast("int"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(hits, ["text_key", "salt"]).select("db_id", "field_name", *columns)
 
 
 def spans(findings: DataFrame) -> DataFrame:
@@ -502,16 +554,16 @@ def spans(findings: DataFrame) -> DataFrame:
     left out. Distinct texts are labelled once and joined back by their digest.
     """
     v = _values(findings)
-    hits = _texts(v).mapInPandas(_locate, "text_key binary, start_pos int, end_pos int")
-    hits = hits.groupBy("text_key").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("spans"))
-    return v.select("db_id", "field_name", "text_key").distinct().join(hits, "text_key").select("db_id", "field_name", F.inline("spans"))
+    hits = _texts(v).mapInPandas(_locate, "text_key binary, spans array<struct<start_pos: int, end_pos: int>>")
+    return _joined(v, hits, "spans").select("db_id", "field_name", F.inline("spans"))
 
 
-def redact(text: str) -> str:
-    """The text without its credentials and otherwise unchanged."""
+def redact(text: str, found: list[tuple[int, int]] | None = None) -> str:
+    """The text without its credentials and otherwise unchanged; a bare number becomes a number, all else a plain word."""
     out, at = [], 0
-    for s, e in find(text):
-        out += [text[at:s], REDACTED]
+    for s, e in find(text) if found is None else found:
+        bare_number = text[s:e].isdigit() and text[s - 1 : s] not in ("'", '"', "`")
+        out += [text[at:s], REDACTED_NUMBER if bare_number else REDACTED]
         at = e
     return "".join(out) + text[at:]
 
@@ -521,9 +573,9 @@ def redacted(findings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = [len(find(t)) for t in b["text"]]
-            yield pd.DataFrame({"text_key": b["text_key"], "text": [redact(t) for t in b["text"]], "credentials": n})
+            rows = [(k, redact(t, f), len(f)) for k, t in zip(b["text_key"], b["text"]) if (f := find(t))]
+            yield pd.DataFrame(rows, columns=["text_key", "text", "credentials"])
 
     v = _values(findings)
-    clean = _texts(v).mapInPandas(run, "text_key binary, text string, credentials int").filter("credentials > 0")
-    return v.select("db_id", "field_name", "text_key").distinct().join(clean, "text_key").select("db_id", "field_name", F.col("text").alias("redacted_text"), "credentials")
+    clean = _texts(v).mapInPandas(run, "text_key binary, text string, credentials int")
+    return _joined(v, clean, F.col("text").alias("redacted_text"), "credentials")
