@@ -15,6 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows a bucket holds on average.
+ROWS_A_BUCKET = 20_000
+
+
+def buckets_for(rows: int) -> int:
+    """Number of buckets for so many rows: a power of two, at least 256."""
+    return max(256, 1 << (rows // ROWS_A_BUCKET).bit_length())
+
+
 def hash_bucket(h: Column, buckets: int) -> Column:
     """Bucket of a 64-bit hash, monotone in the hash as a signed number."""
     return F.shiftright(h, 64 - (buckets - 1).bit_length()).cast("int")
