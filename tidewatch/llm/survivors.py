@@ -95,34 +95,51 @@ def _dominates(a: Column, b: Column) -> Column:
     return no_worse & better
 
 
-def layered(cell_rows: DataFrame) -> DataFrame:
-    """fingerprint, lo, hi, cells with their dominance layer (1 = undominated).
+def _layers(cells: Column | str) -> Column:
+    """The cells, each with its dominance layer (1 = undominated).
 
     A cell's layer is one more than the highest layer among the cells that dominate it;
     those precede it in the array, so one pass over the array finds all layers.
     """
-    g = _as_array(cell_rows)
-    first = F.transform("cells", lambda c: F.struct(c.alias("c"), F.lit(0).alias("layer")))
+    first = F.transform(cells, lambda c: F.struct(c.alias("c"), F.lit(0).alias("layer")))
     empty = F.slice(first, 1, 0)
 
     def step(acc: Column, c: Column) -> Column:
         above = F.array_max(F.transform(F.filter(acc, lambda d: _dominates(d["c"], c)), lambda d: d["layer"]))
         return F.concat(acc, F.array(F.struct(c.alias("c"), (F.coalesce(above, F.lit(0)) + 1).alias("layer"))))
 
-    return g.withColumn("cells", F.aggregate("cells", empty, step))
+    return F.aggregate(cells, empty, step)
+
+
+def layered(cell_rows: DataFrame) -> DataFrame:
+    """fingerprint, lo, hi, cells with their dominance layer across completeness, recency and trust."""
+    return _as_array(cell_rows).withColumn("cells", _layers("cells"))
+
+
+def field_layers(cell_rows: DataFrame) -> DataFrame:
+    """fingerprint, lo, hi and for each field the cells with a usable value, in layers across recency and trust."""
+    g = _as_array(cell_rows)
+    same = [F.col(c) for c in ("fingerprint", "lo", "hi")]
+
+    def alone(bit: int) -> Column:
+        # With one field asked for, all its cells are equally complete.
+        own = F.transform(F.filter("cells", _has(bit)), lambda x: F.struct(F.lit(1).alias("complete"), x["at"].alias("at"), x["rank"].alias("rank"), x["neg_id"].alias("neg_id")))
+        return _layers(F.sort_array(own, asc=False))
+
+    return g.select(*same, *[alone(i).alias(f) for i, f in enumerate(FIELDS)])
 
 
 def _has(bit: int, inside: str | None = None):
     return lambda x: F.getbit((x[inside] if inside else x)["mask"], F.lit(bit)) == 1
 
 
-def _at_point(at: Column, rank: Column):
-    return lambda x: (x["at"] == at) & (x["rank"] == rank)
+def _at(at: Column, rank: Column):
+    return lambda x: (x["c"]["at"] == at) & (x["c"]["rank"] == rank)
 
 
-def _by_policy(field: str):
+def _by_policy(field: str | None = None):
     """Sort key of the lexicographic policy, highest first, with the field's value at its end."""
-    return lambda x: F.struct((-x["layer"]).alias("l"), x["c"]["rank"].alias("r"), x["c"]["at"].alias("a"), x["c"]["complete"].alias("n"), x["c"]["neg_id"].alias("i"), x["c"][field].alias("v"))
+    return lambda x: F.struct((-x["layer"]).alias("l"), x["c"]["rank"].alias("r"), x["c"]["at"].alias("a"), x["c"]["complete"].alias("n"), x["c"]["neg_id"].alias("i"), *([x["c"][field].alias("v")] if field else []))
 
 
 def survivors(reports: DataFrame, trust: DataFrame) -> DataFrame:
@@ -144,19 +161,20 @@ def survivors(reports: DataFrame, trust: DataFrame) -> DataFrame:
 def found(reports: DataFrame, trust: DataFrame) -> DataFrame:
     """The rows of TESTDATA.md's p6_found.
 
-    For each field the skyline over (recency, rank) of the reports with a usable value is
-    taken; a case is a skyline of a single point, that is a report none is later than and
-    none ranks above. Reports that tie in both are all cases. The points come from the cells;
-    the exact check joins back to the reports at that point (the join key holds the point, so
-    no large group meets one task).
+    For each field, the reports with a usable value are put into dominance layers over recency
+    and trust. The policy's choice from the first layer is a case if the whole layer lies at its
+    point: then no report is later and none ranks above. Reports that tie with it in both are
+    cases too. The layers come from the cells; the exact check joins back to the reports at the
+    chosen point (the join key holds the point, so no large group meets one task).
     """
     r = rated(reports, trust)
-    g = _as_array(cells(r)).filter(F.col("lo") != F.col("hi"))
+    g = field_layers(cells(r)).filter(F.col("lo") != F.col("hi"))
     points = []
     for i, f in enumerate(FIELDS):
-        fit = F.filter("cells", _has(i))
-        at, rank = F.array_max(F.transform(fit, lambda x: x["at"])), F.array_max(F.transform(fit, lambda x: x["rank"]))
-        points.append(F.when(F.exists(fit, _at_point(at, rank)), F.struct(F.lit(f).alias("field_name"), F.lit(i).alias("bit"), at.alias("at"), rank.alias("rank"))))
+        top = F.filter(f, lambda x: x["layer"] == 1)
+        best = F.array_max(F.transform(top, _by_policy()))
+        alone = F.forall(top, _at(best["a"], best["r"]))
+        points.append(F.when((F.size(top) > 0) & alone, F.struct(F.lit(f).alias("field_name"), F.lit(i).alias("bit"), best["a"].alias("at"), best["r"].alias("rank"))))
     p = g.select("fingerprint", F.explode(F.array_compact(F.array(*points))).alias("p")).select("fingerprint", "p.*")
     at = F.coalesce("reported_at", F.timestamp_seconds(F.lit(-62_135_596_800)))
     rows = r.select("fingerprint", "report_id", "rank", "mask", at.alias("at"))
