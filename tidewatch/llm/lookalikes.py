@@ -13,7 +13,8 @@ that is not suspicious, or as the repaired form of another text's token.
 
 Only texts with characters beyond ASCII go through Python (Arrow batches); the vocabulary is
 looked up for the few candidate forms by equi joins, so nothing of corpus size is collected,
-broadcast or held in one task.
+broadcast or held in one task. The forms are broadcast only where their measured size is below
+BROADCAST_BYTES: then other tokens are dropped before they are exchanged.
 """
 
 from __future__ import annotations
@@ -153,6 +154,10 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "form": out})
 
 
+#: Largest total length of the forms asked for that is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Copies of one text that a join task meets; a text with more is split.
+COPIES_A_TASK = 50_000
 _BEYOND_ASCII = r"[^\x00-\x7f]"
 
 
@@ -172,6 +177,9 @@ def normalized(documents: DataFrame) -> DataFrame:
 
     tries = scanned.select("doc_id", F.explode("suspicious").alias("s")).distinct().select("doc_id", "s.token", F.posexplode("s.forms").alias("choice", "form"))
     wanted = tries.select("form").distinct()
+    size = wanted.agg(F.sum(F.octet_length("form") + 32).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
     # Vocabulary: tokens that are not suspicious where they stand, and what other texts' suspicious tokens become.
     words = plain.unionByName(scanned.select("doc_id", "form")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(TOKEN_PATTERN), 0))).alias("form"))
     clean = words.join(wanted, "form", "left_semi").join(tries.select("doc_id", F.col("token").alias("form")).distinct(), ["doc_id", "form"], "left_anti")
@@ -194,12 +202,20 @@ def classes(documents: DataFrame) -> DataFrame:
 def found(documents: DataFrame) -> DataFrame:
     """The rows of TESTDATA.md's p9_found: pairs of different texts of one form.
 
-    Classes of exact copies only are dropped before the join, so that a text copied into a
-    third of all rows makes no rows unless it has a look-alike.
+    Pairs are formed of distinct texts first (a class has as many as it has spellings) and then
+    joined with the documents of either text, so copies never meet their own copies. A text with
+    more than COPIES_A_TASK copies is split into parts, each of which meets all partners.
     """
     c = cut(classes(documents).distinct())
-    several = c.groupBy("class_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter(F.col("lo") != F.col("hi")).select("class_id")
-    c = c.join(several, "class_id", "left_semi")
-    a = c.select(F.col("doc_id").alias("doc_id_a"), F.col("text_hash").alias("hash_a"), "class_id")
-    b = c.select(F.col("doc_id").alias("doc_id_b"), F.col("text_hash").alias("hash_b"), "class_id")
-    return a.join(b, "class_id").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("hash_a") != F.col("hash_b"))).select("doc_id_a", "doc_id_b")
+    texts = c.groupBy("class_id", "text_hash").agg(F.ceil(F.count("*") / COPIES_A_TASK).cast("int").alias("parts"))
+    several = texts.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select("class_id")
+    texts = texts.join(several, "class_id")
+    a = texts.select("class_id", F.col("text_hash").alias("hash_a"))
+    b = texts.select("class_id", F.col("text_hash").alias("hash_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, "class_id").filter(F.col("hash_a") < F.col("hash_b")).drop("class_id")
+    # Documents of texts that have a look-alike, with the part of their text they belong to.
+    docs = c.join(texts.select("text_hash", "parts"), "text_hash").select("doc_id", "text_hash", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    one = docs.select(F.col("text_hash").alias("hash_a"), F.col("doc_id").alias("x"))
+    two = docs.select(F.col("text_hash").alias("hash_b"), "part", F.col("doc_id").alias("y"))
+    hit = pairs.join(one, "hash_a").join(two, ["hash_b", "part"])
+    return hit.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
