@@ -9,7 +9,8 @@ bins at once; this gives what packing bin by bin would.
 
 Items then find their bin by equi join: the rank of an item among those of its size (ranked
 in hash buckets, so that a size with a third of all items is no single task) falls into one
-slot range of a pattern.
+slot range of a pattern. Both sides state the block of ranks they lie in, so the join reads few
+ranges an item and a size with a third of all items is spread over its blocks.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tokens import TOKENIZER, with_tokens
-from tidewatch.operators.prefix import hash_bucket, running_sum
+from tidewatch.operators.prefix import buckets_for, hash_bucket, running_sum
 from tidewatch.session import cut
 
-BUCKETS = 256
+#: Ranks of one size that meet in one join key.
+BLOCK = 4096
 
 
 def best_two(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[int, int] | None:
@@ -120,12 +122,16 @@ def prompts(documents: DataFrame, context_budgets: DataFrame, tokenizer: str = T
     sized = with_tokens(documents, tokenizer)
     if not small:
         small, sized = [("", 1)], sized.limit(0)
-    items = pieces(cut(sized), small)
-    items = items.withColumn("h", F.xxhash64("doc_id", "piece")).withColumn("b", hash_bucket(F.col("h"), BUCKETS)).withColumn("one", F.lit(1))
+    sized = cut(sized)
+    buckets = buckets_for(sized.count())
+    items = pieces(sized, small)
+    items = items.withColumn("h", F.xxhash64("doc_id", "piece")).withColumn("b", hash_bucket(F.col("h"), buckets)).withColumn("one", F.lit(1))
     ranked = running_sum(items, ["budget_name", "tokens"], "b", ["h", "doc_id", "piece"], "one", "rank", before=True)
     histogram = items.groupBy("budget_name", "capacity_tokens", "tokens").agg(F.count("*").alias("items"))
     slots = histogram.groupBy("budget_name").applyInPandas(_slots, "tokens long, rank_from long, rank_to long, per_bin long, first_bin long, prompt_tokens long, budget_name string")
-    placed = ranked.join(slots, ["budget_name", "tokens"]).filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    slots = slots.withColumn("block", F.explode(F.sequence(F.floor(F.col("rank_from") / BLOCK), F.floor((F.col("rank_to") - 1) / BLOCK))))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    placed = ranked.join(slots, ["budget_name", "tokens", "block"]).filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     return placed.select(
         "budget_name",
         "doc_id",
