@@ -82,3 +82,20 @@ def test_hazards_use_the_risk_set(spark):
         r = h["chars", length]
         assert (r.n, r.at_risk) == (k, at_risk(length)) and abs(r.expected - want) < 1e-9
     assert {x for (unit, x), r in h.items() if unit == "chars" and r.significant} == {338, 341}
+
+
+def test_last_tokens_are_those_of_the_whole_text():
+    r = random.Random(3)
+    for n in (0, 1, 5, 60, 400):
+        s = " ".join(r.choice(["alpha", "b_c", "12", "(x)", "....", "`````", "ß", "z" * 300, "\n"]) for _ in range(n)).strip()
+        whole, _ = t._tokens(s)
+        assert t._last_tokens(s)[-4:] == whole[-4:]
+
+
+def test_hot_ending_and_long_words(spark):
+    """A third of all values share an ending; a cut word is found where the whole one has any length."""
+    end = "The value reaches the query without any check."
+    rows = [(i, i, "m", end, None, "", "") for i in range(300)] + [(1000 + i, i, "m", f"Limit order {i} to the {'verification' + 'n' * 500} step.", None, "", "") for i in range(20)]
+    rows += [(2000, 1, "m", "Limit order 5 to the verif", None, "", "")]
+    got = {r.record_id for r in t.found(spark.createDataFrame(rows, V), spark.createDataFrame([], D)).collect()}
+    assert got == {2000}
