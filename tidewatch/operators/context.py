@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.rules import around, lines_of
+
+# Extensions by kind of comment; lines that say nothing.
 C_FAMILY = (".go", ".js", ".ts", ".java", ".c", ".cpp", ".cs", ".php", ".swift", ".kt", ".dart", ".scala", ".rs")
 HASH_FAMILY = (".py", ".rb", ".sh", ".bash", ".yaml", ".yml", ".dockerfile", ".tf", ".pl")
 MARKUP = (".html", ".xml", ".vue")
@@ -36,39 +38,77 @@ def strip_comments(text: Column, ext: Column) -> Column:
     return F.when(e.isin(*C_FAMILY), c).when(e.isin(*HASH_FAMILY), blank_out(text, r"#[^\n]*")).when(e.isin(*MARKUP), blank_out(text, r"(?s)<!--.*?-->")).otherwise(text)
 
 
-def snippets(lines: DataFrame, places: DataFrame, around: int = 2) -> DataFrame:
-    """file_path, line_no, snippet: numbered lines around each place, the place marked.
+def at_places(files: DataFrame, places: DataFrame) -> DataFrame:
+    """file_path, lines (array), places (array of the other columns): the places of a file beside its lines.
+
+    The places, of which a file has few, are gathered by file and meet it in one join; files without
+    any drop out. What stands around a place is then a slice of the row.
+    """
+    own = [c for c in places.columns if c != "file_path"]
+    p = places.groupBy("file_path").agg(F.collect_set(F.struct(*own)).alias("places"))
+    return files.select("file_path", lines_of("content").alias("lines")).join(p, "file_path")
+
+
+def snippets(files: DataFrame, places: DataFrame, reach: int = 2) -> DataFrame:
+    """file_path, line_no, snippet: numbered lines around each place (file_path, line_no), the place marked; places beyond the file drop out."""
+    x = at_places(files, places.select("file_path", "line_no"))
+
+    def numbered(p: Column) -> Column:
+        first = F.greatest(p["line_no"] - reach, F.lit(1))
+
+        def row(line: Column, i: Column) -> Column:
+            n = first + i
+            return F.concat(F.when(n == p["line_no"], "→ ").otherwise("  "), F.lpad(n.cast("string"), 4, " "), F.lit(" | "), line)
+
+        return F.array_join(F.transform(around(F.col("lines"), p["line_no"], reach, reach), row), "\n")
+
+    inside = F.filter("places", lambda p: p["line_no"] <= F.size("lines"))
+    return x.select("file_path", F.inline(F.transform(inside, lambda p: F.struct(p["line_no"].alias("line_no"), numbered(p).alias("snippet")))))
+
 
-    ``places`` are (file_path, line_no). A place states the lines it wants, so the lookup is an
-    equi join on (file_path, line), whatever the file's size.
+def is_trivial(line: Column) -> Column:
+    return stripped(line).rlike(TRIVIAL)
+
+
+def anchors(files: DataFrame, fragments: DataFrame, reach: int = 30) -> DataFrame:
+    """file_path, line_no, fragment, anchored: the line a code fragment (file_path, line_no, fragment) belongs to.
+
+    The nearest line within ``reach`` that holds the fragment, or its first token if that has more
+    than six characters (any case, the upper line on a tie), else the line itself; from a trivial
+    line it moves to the next better one within two, down before up. Places of files that are
+    not there stay as they are.
     """
-    want = places.select("file_path", "line_no").distinct().select("file_path", F.col("line_no").alias("at"), F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no"))
-    x = want.join(lines.select("file_path", "line_no", "line"), ["file_path", "line_no"])
-    text = F.concat(F.when(F.col("line_no") == F.col("at"), "→ ").otherwise("  "), F.lpad(F.col("line_no").cast("string"), 4, " "), F.lit(" | "), F.col("line"))
-    g = x.groupBy("file_path", "at").agg(F.sort_array(F.collect_list(F.struct("line_no", text.alias("t")))).alias("a"))
-    return g.select("file_path", F.col("at").alias("line_no"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("snippet"))
-
-
-def anchors(lines: DataFrame, fragments: DataFrame, reach: int = 30) -> DataFrame:
-    """file_path, line_no, fragment, anchored: nearest line within ``reach`` that holds the fragment (up before down on a tie), else the line itself."""
-    want = fragments.select("file_path", "line_no", "fragment").distinct()
-    wide = want.select("*", F.explode(F.sequence(F.greatest(F.col("line_no") - reach, F.lit(1)), F.col("line_no") + reach)).alias("at"))
-    hit = wide.join(lines.select("file_path", F.col("line_no").alias("at"), "line"), ["file_path", "at"]).filter(F.col("line").contains(F.col("fragment")))
-    best = hit.groupBy("file_path", "line_no", "fragment").agg(F.min(F.struct(F.abs(F.col("at") - F.col("line_no")).alias("d"), "at")).alias("b"))
-    return want.join(best, ["file_path", "line_no", "fragment"], "left").select("file_path", "line_no", "fragment", F.coalesce("b.at", "line_no").alias("anchored"))
-
-
-def adjusted_pointers(lines: DataFrame, reach: int = 3) -> DataFrame:
-    """file_path, line_no, adjusted: for each junk line the nearest line that is none within ``reach``, up before down; others stay."""
-    w = W.partitionBy("file_path").orderBy("line_no")
-    x = lines.withColumn("junk", is_junk(F.col("line")))
-    choice = F.when(~F.col("junk"), F.col("line_no"))
-    steps = []
-    for d in range(1, reach + 1):
-        for s in (-d, d):
-            other = F.lag("junk", d).over(w) if s < 0 else F.lead("junk", d).over(w)
-            steps.append(F.when(~other, F.col("line_no") + s))
-    return x.select("file_path", "line_no", F.coalesce(choice, *steps, F.col("line_no")).alias("adjusted"))
+    own = fragments.select("file_path", "line_no", "fragment").distinct()
+    x = at_places(files, own)
+    lines = F.col("lines")
+
+    def nearest(p: Column) -> Column:
+        low = F.lower(F.trim(p["fragment"]))
+        token = F.regexp_extract(low, r"^([^ \t(=;]*)[ \t(=;]", 1)
+        short = F.when(F.length(token) > 6, token).otherwise(low)
+        first = F.greatest(p["line_no"] - reach, F.lit(1))
+        hit = F.transform(around(lines, p["line_no"], reach, reach), lambda line, i: F.when(F.lower(line).contains(low) | F.lower(line).contains(short), F.struct(F.abs(first + i - p["line_no"]).alias("d"), (first + i).alias("n"))))
+        return F.when(low != "", F.array_min(F.array_compact(hit))["n"])
+
+    def better(n: Column) -> Column:
+        steps = [F.when(~F.coalesce(is_trivial(F.get(lines, n - 1 + d)), F.lit(True)), n + d) for d in (0, 1, -1, 2, -2)]
+        return F.when(F.get(lines, n - 1).isNull(), n).otherwise(F.coalesce(*steps, n))
+
+    hit = x.select("file_path", F.inline(F.transform("places", lambda p: F.struct(p["line_no"].alias("line_no"), p["fragment"].alias("fragment"), better(F.coalesce(nearest(p), p["line_no"])).alias("at")))))
+    return own.join(hit, ["file_path", "line_no", "fragment"], "left").select("file_path", "line_no", "fragment", F.coalesce("at", "line_no").alias("anchored"))
+
+
+def adjusted_line(lines: Column, at: Column, reach: int = 3) -> Column:
+    """``at``, or for a junk line the nearest line that is none within ``reach``, up before down."""
+    steps = [F.when(~is_junk(F.get(lines, at - 1 + d)), at + d) for k in range(1, reach + 1) for d in (-k, k)]
+    return F.when(is_junk(F.get(lines, at - 1)), F.coalesce(*steps, at)).otherwise(at)
+
+
+def adjusted_pointers(files: DataFrame, reach: int = 3) -> DataFrame:
+    """file_path, line_no, adjusted for every line."""
+    x = files.select("file_path", lines_of("content").alias("lines"))
+    each = F.transform("lines", lambda _, i: F.struct((i + 1).alias("line_no"), adjusted_line(F.col("lines"), i + 1, reach).alias("adjusted")))
+    return x.select("file_path", F.inline(each))
 
 
 def chunks(lines: DataFrame, size: int = 2000, overlap: int = 50) -> DataFrame:
@@ -88,8 +128,8 @@ def chunks(lines: DataFrame, size: int = 2000, overlap: int = 50) -> DataFrame:
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy of a text's characters in bits; null for an empty text."""
-    chars = F.split(c, "")
-    n = F.size(chars).cast("double")
-    share = F.transform(F.array_distinct(chars), lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / n)
-    return F.when(F.length(c) > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    """Shannon entropy of a text's characters in bits; null for an empty text. Counts are run lengths of the sorted characters."""
+    sorted_chars = F.array_join(F.array_sort(F.split(c, "")), "")
+    runs = F.regexp_extract_all(sorted_chars, F.lit(r"(?s)((.)\2*)"), 1)
+    n = F.length(c).cast("double")
+    return F.when(F.length(c) > 0, F.aggregate(runs, F.lit(0.0), lambda a, r: a - F.length(r) / n * F.log2(F.length(r) / n)))

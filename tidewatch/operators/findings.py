@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import folded, root_path, start_line, trimmed
+from tidewatch.operators.prefix import sorted_rank
 
 SEVERITY_ORDER = ("info", "low", "medium", "high", "critical")
 
@@ -46,6 +47,7 @@ WORD_FAMILIES = (
 )
 PROXIMITY = 15
 
+# Controls of three frameworks with the CWEs that belong to them.
 OWASP = (
     ("A01:2021", "Broken Access Control"), ("A02:2021", "Cryptographic Failures"), ("A03:2021", "Injection"), ("A04:2021", "Insecure Design"), ("A05:2021", "Security Misconfiguration"),
     ("A06:2021", "Vulnerable and Outdated Components"), ("A07:2021", "Identification and Authentication Failures"), ("A08:2021", "Software and Data Integrity Failures"),
@@ -53,14 +55,13 @@ OWASP = (
 )
 PCI = (("6.2", ("CWE-89", "CWE-78", "CWE-79", "CWE-94")), ("6.3", ("CWE-798", "CWE-327", "CWE-330")), ("6.4", ("CWE-79", "CWE-89", "CWE-352")), ("8.2", ("CWE-287", "CWE-307", "CWE-798")), ("8.6", ("CWE-778", "CWE-223")), ("4.2", ("CWE-326", "CWE-327", "CWE-311")))
 NIST = (("AC-3", ("CWE-284", "CWE-285", "CWE-639")), ("AU-9", ("CWE-778", "CWE-223")), ("CM-6", ("CWE-16", "CWE-732")), ("IA-5", ("CWE-798", "CWE-257", "CWE-307")), ("SC-8", ("CWE-311", "CWE-319")), ("SC-28", ("CWE-312", "CWE-326")), ("SI-10", ("CWE-89", "CWE-78", "CWE-79", "CWE-20")))
+# Attack technique by words of the issue name (first hit in this order), and its name.
 MITRE = (
-    ("T1190", ("sql injection", "command injection", "shell", "path traversal", "server-side request", "xml external", "deserialization")),
-    ("T1059", ("script", "xss", "template")),
-    ("T1552", ("credential", "secret", "password")),
-    ("T1600", ("weak", "cipher", "digest", "random")),
-    ("T1566", ("redirect",)),
-    ("T1005", ("log", "data")),
+    ("T1190", ("sql injection",)), ("T1059", ("command injection", "os command", "exec(", "shell")), ("T1189", ("xss", "cross-site scripting")), ("T1078", ("hardcoded", "secret", "credential", "password", "api key", "token")),
+    ("T1083", ("path traversal", "directory traversal", "lfi", "rfi")), ("T1190", ("ssrf",)), ("T1190", ("deserialization", "unserialize")), ("T1190", ("xxe", "xml external")), ("T1190", ("ldap injection",)),
+    ("T1189", ("open redirect",)), ("T1552", ("insecure random", "weak random")),
 )
+TECHNIQUES = {'T1190': 'Exploit Public-Facing Application', 'T1059': 'Command and Scripting Interpreter', 'T1189': 'Drive-by Compromise', 'T1078': 'Valid Accounts', 'T1083': 'File and Directory Discovery', 'T1552': 'Unsecured Credentials'}
 
 
 def _text(c: str) -> Column:
@@ -112,28 +113,36 @@ def engines(source: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(source, ","), lambda s: F.trim(s)), lambda s: s != "")))
 
 
-def _fold(g, *extra: Column) -> DataFrame:
-    """The ordered fold of merged findings as aggregates; position is db_id."""
+def _fold(g, *extra: Column, position: tuple[str, ...] = ("db_id",)) -> DataFrame:
+    """The ordered fold of merged findings as aggregates; earlier positions win ties.
+
+    Severity, CWE and OWASP come from the first most severe row; name and description from the
+    most severe row with the longest description; remediation from the one among them that has
+    one; the rule id from the first row that has one.
+    """
     rank = severity_rank(F.col("severity"))
-    first_severe = F.max_by(F.struct("severity", "cwe", "owasp"), F.struct(rank.alias("r"), (-F.col("db_id")).alias("p")))
-    longest = F.max_by(F.struct("issue_name", "description"), F.struct(rank.alias("r"), F.length("description").alias("n"), (-F.col("db_id")).alias("p")))
-    row0 = F.min_by("rule_id", "db_id")
-    rule = F.min_by("rule_id", F.when(F.col("rule_id") != "", F.col("db_id")))
+    pos = F.struct(*position)
+    before = [(-F.col(p)).alias(f"p{i}") for i, p in enumerate(position)]
+    first_severe = F.max_by(F.struct("severity", "cwe", "owasp"), F.struct(rank.alias("r"), *before))
+    longest = F.max_by(F.struct("issue_name", "description"), F.struct(rank.alias("r"), F.length("description").alias("n"), *before))
+    advice = F.max_by("remediation", F.struct(rank.alias("r"), (F.col("remediation") != "").cast("int").alias("has"), F.length("description").alias("n"), *before))
+    rule = F.min_by("rule_id", F.when(F.col("rule_id") != "", pos))
     return g.agg(
         F.count("*").alias("n_merged"),
         F.min("db_id").alias("db_id"),
         first_severe.alias("s"),
         longest.alias("l"),
-        F.coalesce(F.when(row0 != "", row0), rule, F.lit("")).alias("rule_id"),
+        advice.alias("remediation"),
+        F.coalesce(rule, F.lit("")).alias("rule_id"),
         F.max("confidence").alias("confidence"),
-        F.when(F.max((F.col("ai_validated") == "Yes").cast("int")) == 1, "Yes").otherwise(F.min_by("ai_validated", "db_id")).alias("ai_validated"),
+        F.when(F.max((F.col("ai_validated") == "Yes").cast("int")) == 1, "Yes").otherwise(F.min_by("ai_validated", pos)).alias("ai_validated"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(engines(F.col("source")))))), ", ").alias("source"),
         *extra,
     )
 
 
 def _unfold(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, "n_merged", "db_id", F.col("s.severity").alias("severity"), F.col("s.cwe").alias("cwe"), F.col("s.owasp").alias("owasp"), F.col("l.issue_name").alias("issue_name"), F.col("l.description").alias("description"), "rule_id", "confidence", "ai_validated", "source")
+    return df.select(*keys, "n_merged", "db_id", F.col("s.severity").alias("severity"), F.col("s.cwe").alias("cwe"), F.col("s.owasp").alias("owasp"), F.col("l.issue_name").alias("issue_name"), F.col("l.description").alias("description"), "remediation", "rule_id", "confidence", "ai_validated", "source")
 
 
 def exact_line_dedup(f: DataFrame) -> DataFrame:
@@ -144,7 +153,7 @@ def exact_line_dedup(f: DataFrame) -> DataFrame:
 
 
 def proximity_clusters(f: DataFrame, proximity: int = PROXIMITY) -> DataFrame:
-    """Gaps and islands: rows of one scan, file and family, a new cluster where the next line is more than ``proximity`` away (0 for secrets)."""
+    """Gaps and islands over the rows ``exact_line_dedup`` left: those of one scan, file and family, a new cluster where the next line is more than ``proximity`` away (0 for secrets)."""
     x = f.withColumn("family", family(f))
     keys = ("scan_id", "file_path", "family")
     w = W.partitionBy(*keys).orderBy("line")
@@ -152,7 +161,20 @@ def proximity_clusters(f: DataFrame, proximity: int = PROXIMITY) -> DataFrame:
     lines = x.select(*keys, "line").distinct()
     lines = lines.withColumn("new", (F.col("line") - F.lag("line").over(w) > gap).cast("int")).withColumn("cluster", F.sum(F.coalesce("new", F.lit(0))).over(w)).drop("new")
     g = x.join(lines, [*keys, "line"]).groupBy(*keys, "cluster")
-    return _unfold(_fold(g, F.min("line").alias("from_line"), F.max("line").alias("to_line")).withColumnRenamed("cluster", "cluster_no"), *keys, "cluster_no", "from_line", "to_line")
+    folded_rows = _fold(g, F.min("line").alias("from_line"), F.max("line").alias("to_line"), position=("line", "db_id"))
+    return _unfold(folded_rows.withColumnRenamed("cluster", "cluster_no"), *keys, "cluster_no", "from_line", "to_line")
+
+
+def pipeline(raw: DataFrame) -> DataFrame:
+    """The findings of all engines of a scan, merged, recalibrated, scored and numbered.
+
+    ``raw`` is the union of the engines' records: rows of one line are merged, then near lines
+    of one family; severities are corrected, trust scores given, and rows numbered per scan by
+    severity, path, line and id.
+    """
+    merged = proximity_clusters(exact_line_dedup(raw)).withColumn("line", F.col("from_line"))
+    r = recalibrated(merged)
+    return numbered(r.withColumn("trust_score", trust_score(r)))
 
 
 def recalibrated(f: DataFrame) -> DataFrame:
@@ -173,12 +195,31 @@ def recalibrated(f: DataFrame) -> DataFrame:
     return f.withColumn("old_severity", F.col("severity")).withColumn("severity", new)
 
 
+# Parts of a file (lower case) that show it serves the web.
+WEB_MARKERS = (
+    "$_get", "$_post", "$_request", "$_cookie", "$_server", "@app.route", "flask", "def index", "@app.get", "@app.post", "app.get(", "app.post(", "express()", "router.",
+    "@requestmapping", "@getmapping", "@postmapping", "httpservlet",
+)
+
+
+def web_reachable(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings marked unreachable whose file serves the web: the mark goes (once), info and low become high; confidence stays."""
+    low = F.lower("content")
+    web = files.filter(F.exists(F.array(*map(F.lit, WEB_MARKERS)), lambda m: low.contains(m))).select("file_path").distinct().withColumn("web", F.lit(True))
+    x = found.join(web, "file_path", "left")
+    hit = F.coalesce("web", F.lit(False)) & F.col("description").contains("[UNREACHABLE]")
+    at = F.instr("description", "[UNREACHABLE] ")
+    text = F.when(at > 0, F.concat(F.substring(F.col("description"), F.lit(1), at - 1), F.substring(F.col("description"), at + F.lit(14), F.length("description")))).otherwise(F.col("description"))
+    return x.withColumn("severity", F.when(hit & F.col("severity").isin("info", "low"), "high").otherwise(F.col("severity"))).withColumn("description", F.when(hit, text).otherwise(F.col("description"))).drop("web")
+
+
 def trust_score(f: DataFrame) -> Column:
     """100 x confidence + 15 for each further engine (split at comma and blank) + 10 if confirmed, at most 100."""
     n = F.size(F.split("source", ", "))
     return F.least(F.lit(100.0), F.round(100 * F.col("confidence") + 15 * (n - 1) + F.when(F.col("ai_validated") == "Yes", 10).otherwise(0), 6))
 
 
+# Parts of the paths of test files.
 TEST_PATH = r"_test\.go|test\.js|test\.ts|spec\.js|spec\.ts|/test/|/tests/|/testdata/|/mock/|/mocks/|/fixture/|/__tests__/|/__mocks__/|/node_modules/|/__test__/|_test\.py|/test_|/spec/|/specs/|/fixtures/"
 
 
@@ -269,21 +310,28 @@ def compliance_cwe(f: DataFrame, framework) -> DataFrame:
     return _roll_up(active(f).select(F.explode(F.array_compact(F.array(*ids))).alias("control_id"), "severity"), controls)
 
 
-def technique(text: Column) -> Column:
-    """First matching attack technique by words; null if none."""
+def technique(name: Column) -> Column:
+    """First matching attack technique by words of the lower-case issue name; null if none."""
     out = F.lit(None).cast("string")
     for t, words in reversed(MITRE):
         hit = F.lit(False)
         for w in words:
-            hit = hit | text.contains(w)
+            hit = hit | name.contains(w)
         out = F.when(hit, t).otherwise(out)
     return out
 
 
+def with_technique(f: DataFrame) -> DataFrame:
+    """``technique`` and, where there is one, the description with its id and name appended."""
+    names = F.create_map(*[F.lit(x) for kv in TECHNIQUES.items() for x in kv])
+    f = f.withColumn("technique", technique(F.lower("issue_name")))
+    text = F.concat("description", F.lit("\n\nMITRE ATT&CK: "), "technique", F.lit(" - "), names[F.col("technique")])
+    return f.withColumn("description", F.coalesce(text, "description"))
+
+
 def numbered(f: DataFrame) -> DataFrame:
     """Sequential number inside the scan after the sort by severity, path, line, id."""
-    w = W.partitionBy("scan_id").orderBy(severity_rank(F.col("severity")).desc(), "file_path", "line", "db_id")
-    return f.withColumn("sr_no", F.row_number().over(w))
+    return sorted_rank(f, ["scan_id"], [severity_rank(F.col("severity")).desc(), F.col("file_path"), F.col("line"), F.col("db_id")], "sr_no")
 
 
 def batches(f: DataFrame, size: int) -> DataFrame:

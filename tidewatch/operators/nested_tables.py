@@ -44,39 +44,37 @@ _DECODE = json.JSONDecoder()
 _START = re.compile(r'[{"]')
 _OBJECT_HEAD = re.compile(r'\{\s*(?:"|\})')
 _STRING_HEAD = re.compile(r'"(?:\\[nrt]|\s)*\{')
-_DEPTH = 8
-
-
-def _document(value: object, depth: int = 0) -> dict | None:
-    """The object that has one of the root lists: the value itself, or inside lists, objects or encoded text."""
-    if depth > _DEPTH:
-        return None
-    if isinstance(value, dict):
-        if any(k in value for k in ROOT_LISTS):
-            return value
-        inner = list(value.values())
-    elif isinstance(value, list):
-        inner = value
-    elif isinstance(value, str) and "{" in value:
-        return find_document(value, depth + 1)
-    else:
-        return None
-    for x in inner:
-        if isinstance(x, (dict, list, str)) and (d := _document(x, depth + 1)) is not None:
-            return d
+
+
+def _document(value: object) -> dict | None:
+    """The object that has one of the root lists: the value itself, or inside lists, objects or encoded text, however deep."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            if "{" in v and (d := find_document(v)) is not None:
+                return d
+        elif isinstance(v, dict):
+            if any(k in v for k in ROOT_LISTS):
+                return v
+            stack.extend(reversed(v.values()))
+        elif isinstance(v, list):
+            stack.extend(reversed(v))
     return None
 
 
-def find_document(text: str, depth: int = 0) -> dict | None:
+def find_document(text: str) -> dict | None:
     """The one advisory document in a payload, else None.
 
     Tried in turn: the whole text, then each place where an object or an encoded object
     may start. Where a place looks like an object but does not parse, the document is
-    damaged there and the payload has none: fragments inside are never taken for it.
+    damaged there and the payload has none: fragments inside are never taken for it. Text
+    encoded in text is read again (each level doubles its escapes, so the levels are few).
+    Nesting that the JSON parser itself does not take (thousands of levels) counts as damage.
     """
-    text = text.strip().lstrip("﻿").strip()
+    text = text.strip().lstrip("\ufeff").strip()
     try:
-        return _document(json.loads(text), depth)
+        return _document(json.loads(text))
     except (ValueError, RecursionError):
         pass
     at = 0
@@ -90,7 +88,7 @@ def find_document(text: str, depth: int = 0) -> dict | None:
             value, end = _DECODE.raw_decode(text, at)
         except (ValueError, RecursionError):
             return None
-        if (d := _document(value, depth)) is not None:
+        if (d := _document(value)) is not None:
             return d
         at = end
     return None

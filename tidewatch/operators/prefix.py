@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut
+
 
 #: Rows a bucket holds on average.
 ROWS_A_BUCKET = 20_000
@@ -41,3 +43,18 @@ def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequenc
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = F.sum(value).over(inside) - (F.col(value) if before else F.lit(0))
     return df.withColumn(out, own).join(totals, keys).withColumn(out, F.col(out) + F.col("__offset")).drop("__offset")
+
+
+def sorted_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``out``: position from 1 in the group after a sort by ``order`` (which must be unique in the group; groups must not be null).
+
+    Rows are range-partitioned by group and order and written once, so that the partition
+    number is a bucket in that order: a group with a third of all rows spreads over partitions.
+    """
+    keys = [F.col(g) for g in group]
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy(*group, "__part").agg(F.count("*").alias("__t"))
+    prior = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("__offset", F.coalesce(F.sum("__t").over(prior), F.lit(0))).drop("__t")
+    inside = W.partitionBy(*group, "__part").orderBy(*order)
+    return placed.withColumn(out, F.row_number().over(inside)).join(totals, [*group, "__part"]).withColumn(out, (F.col(out) + F.col("__offset")).cast("int")).drop("__offset", "__part")

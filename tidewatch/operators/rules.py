@@ -2,7 +2,9 @@
 
 Rules are unrolled into literal predicates (one compiled pattern each, kept by Catalyst for
 the whole scan) and a line yields its matching rules by one explode: no join of lines with
-rules, no shuffle. Context negation is a running maximum of a per-line flag inside the file.
+rules, no shuffle. A file is one row, so what stands around a match is a slice of the row's own
+array of lines: contexts, scopes and negations need no exchange and no window either. Large rule
+sets are data instead: see ``pattern_engine``.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,7 @@ class Rule:
     description: str = ""
     negatives: tuple[str, ...] = ()
     confidence: float = 0.0
+    framework: str = ""
 
 
 # Our own rules, written for the corpus languages (patterns in the subset that RE2 and Java read alike).
@@ -41,7 +43,16 @@ RULES = (
     Rule("tw-docker-user", ("dockerfile",), (r"^USER root",), "high", "", "root user"),
     Rule("tw-secret-word", (), (r"(?i)(password|secret|api_key|token)\s*[:=]",), "critical", "CWE-798", "credential word assigned"),
 )
-BLOCKED = ("tw-log-call",)
+# Ids of rules that are never run.
+BLOCKED = (
+    "js-json-escape", "js-redos-html-tag-regex", "js-redos-long-regex", "js-redos-alternation-overlap", "js-browser-clipboard-read", "gql-perf-unbatched-resolvers", "dart-environment-config", "js-type-coercion-equals",
+    "supplychain-typosquatting-npm", "supplychain-typosquatting-pip", "supplychain-typosquatting-general", "supplychain-known-vulnerable-deps", "supplychain-missing-lockfile", "js-type-coercion-boolean", "js-type-coercion-plus",
+    "generic-missing-security-headers", "ts-api-key-security", "ts-secrets-management", "lambda-high-timeout", "js-crypto-constant-time", "ts-timeout", "py-ssrf-timeout-missing", "java-servlet-http-servlet", "js-timing-attack-index-of",
+    "gql-auth-jwt-weak-secret", "gql-auth-jwt-no-expiry", "js-error-file-path", "js-prototype-pollution-deep-freeze", "js-prototype-pollution-map-set", "js-prototype-pollution-immutable",
+    "supplychain-pip-internal-public", "supplychain-gem-internal-public", "supplychain-nuget-internal-public", "race-token-generation-concurrent", "race-singleton-not-thread-safe", "race-coupon-redeem-concurrent", "race-lazy-init-without-sync",
+    "race-db-increment-without-lock", "race-double-checked-locking-unsafe", "race-db-read-modify-write", "race-payment-concurrent-transaction", "race-auth-check-then-act",
+    "express-missing-helmet", "express-no-rate-limiting", "supplychain-http-url", "supplychain-version-wildcard", "tw-log-call",
+)
 DEFAULT_CONFIDENCE = {"critical": 0.95, "high": 0.85, "medium": 0.70, "low": 0.50, "info": 0.40}
 CRITICAL_CWES = ("CWE-78", "CWE-89", "CWE-94", "CWE-502", "CWE-287", "CWE-918", "CWE-798")
 HIGH_CWES = ("CWE-79", "CWE-22", "CWE-352", "CWE-611", "CWE-942")
@@ -80,35 +91,53 @@ def scan(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def scan_matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """file_path, rule_id, n_matches: matches on the whole text, several a line count each."""
+    """file_path, rule_id, n_matches: matches of all of a rule's patterns on the whole text, several a line count each."""
     counts = F.array_compact(F.array(*[
-        F.when(F.col("syntax").isin(*r.languages) if r.languages else F.lit(True), F.struct(F.lit(r.rule_id).alias("rule_id"), F.size(F.regexp_extract_all("content", F.lit(to_java(r.patterns[0])), 0)).alias("n_matches")))
+        F.when(F.col("syntax").isin(*r.languages) if r.languages else F.lit(True), F.struct(F.lit(r.rule_id).alias("rule_id"), sum((F.size(F.regexp_extract_all("content", F.lit(to_java(p)), 0)) for p in r.patterns), F.lit(0)).alias("n_matches")))
         for r in rules
     ]))
     return files.select("file_path", F.inline(counts)).filter("n_matches > 0")
 
 
-def near(flag: Column, before: int, after: int) -> Column:
-    """Whether ``flag`` holds on any line from ``before`` lines above to ``after`` below, in the file."""
-    w = W.partitionBy("file_path").orderBy("line_no").rowsBetween(-before, after)
-    return F.max(flag.cast("int")).over(w) == 1
+def lines_of(content: Column | str) -> Column:
+    return F.split(content, "\n")
 
 
-def scan_with_negation(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``scan`` without matches near which one of the rule's negative patterns hits (patterns of one line).
+def around(lines: Column, at: Column, before: int, after: int) -> Column:
+    """The lines (array) from ``before`` above line ``at`` to ``after`` below it, as far as there are any."""
+    first = F.greatest(at - before, F.lit(1))
+    return F.slice(lines, first, at + after - first + 1)
 
-    One window over the lines serves all rules: negatives of rules without any are not computed.
-    """
-    neg = {r.rule_id: f"__n{i}" for i, r in enumerate(rules) if r.negatives}
-    flagged = lines
+
+def context_hits(lines: Column, at: Column, before: int, after: int, pattern: str) -> Column:
+    """Whether a pattern matches the text around a line, line ends included."""
+    return F.array_join(around(lines, at, before, after), "\n").rlike(to_java(pattern))
+
+
+def _line_ids(rules: Sequence[Rule], line: Column) -> Column:
+    ids = []
     for r in rules:
-        if r.negatives:
-            hit = F.lit(False)
+        hit = F.lit(False)
+        for p in r.patterns:
+            hit = hit | line.rlike(to_java(p))
+        ids.append(F.when(F.col("syntax").isin(*r.languages) & hit if r.languages else hit, F.lit(r.rule_id)))
+    return F.array_compact(F.array(*ids))
+
+
+def scan_with_negation(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``scan`` of files (file_path, syntax, content) without matches around which one of the rule's negative patterns hits."""
+    x = files.select("file_path", "syntax", lines_of("content").alias("lines"))
+    found = F.flatten(F.transform("lines", lambda line, i: F.transform(_line_ids(rules, line), lambda r: F.struct((i + 1).alias("line_no"), line.alias("line"), r.alias("rule_id")))))
+    x = x.select("file_path", "lines", found.alias("found"))
+
+    def kept(h: Column) -> Column:
+        bad = F.lit(False)
+        for r in rules:
             for p in r.negatives:
-                hit = hit | F.col("line").rlike(to_java(p))
-            flagged = flagged.withColumn(neg[r.rule_id], near(hit, NEGATIVE_BEFORE, NEGATIVE_AFTER))
-    ids = F.array_compact(F.array(*[F.when(_applies(r) & ~(F.col(neg[r.rule_id]) if r.negatives else F.lit(False)), F.lit(r.rule_id)) for r in rules]))
-    return flagged.select("file_path", "line_no", "line", F.explode(ids).alias("rule_id"))
+                bad = bad | ((h["rule_id"] == r.rule_id) & context_hits(F.col("lines"), h["line_no"], NEGATIVE_BEFORE, NEGATIVE_AFTER, p))
+        return ~bad
+
+    return x.select("file_path", F.inline(F.filter("found", kept)))
 
 
 def severity_of(cwe: Column, text: Column, severity: Column) -> Column:
@@ -127,15 +156,15 @@ def default_confidence(severity: Column) -> Column:
     return out
 
 
-def findings(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Rule matches as findings: severity by CWE and text, default confidence by the rule's own severity, below 0.3 info."""
-    spark = lines.sparkSession
+def findings(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rule matches of files as findings: severity by CWE and text, default confidence by the rule's own severity, below 0.3 info."""
+    spark = files.sparkSession
     rows = [(r.rule_id, r.severity, r.cwe, r.description, r.confidence) for r in without_blocked(rules)]
     meta = spark.createDataFrame(rows, "rule_id string, rule_severity string, cwe string, description string, given double")
-    m = scan_with_negation(lines, without_blocked(rules)).join(F.broadcast(meta), "rule_id")  # one row a rule
+    m = scan_with_negation(files, without_blocked(rules)).join(F.broadcast(meta), "rule_id")  # one row a rule
     conf = F.when(F.col("given") > 0, F.col("given")).otherwise(default_confidence(F.col("rule_severity")))
     sev = severity_of(F.col("cwe"), F.concat_ws(" ", "description", "rule_id"), F.col("rule_severity"))
-    return m.select("file_path", "line_no", "rule_id", "cwe", conf.alias("confidence"), F.when(conf < 0.3, "info").otherwise(sev).alias("severity"))
+    return m.select("file_path", "line_no", "rule_id", "description", "cwe", conf.alias("confidence"), F.when(conf < 0.3, "info").otherwise(sev).alias("severity"))
 
 
 @dataclass
@@ -187,22 +216,27 @@ IMPORT = r"(?i)^(import |require\(|from |use |#include)"
 CONTEXT = 5
 
 
-def find_lines(lines: DataFrame, query: str) -> DataFrame:
-    """file_path, line_no of the lines a FIND query hits; WHERE and AND NOT look at five lines around (each within a line)."""
+def find_lines(files: DataFrame, query: str) -> DataFrame:
+    """file_path, line_no of the lines a FIND query hits; WHERE and AND NOT look at the text from five lines above to five below."""
     q = parse_find(query)
-    x = lines.withColumn("__hit", F.col("line").rlike("(?i)" + to_java(q.find)))
-    keep = F.col("__hit")
-    stripped = F.btrim(F.col("line"), F.lit(" \t\r"))
-    if q.scope in SCOPES:
-        pattern, above = SCOPES[q.scope]
-        x = x.withColumn("__scope", near(stripped.rlike(pattern), above, 0))
-        keep = keep & F.col("__scope")
-    elif q.scope == "import":
-        keep = keep & stripped.rlike(IMPORT)
-    if q.where is not None:
-        x = x.withColumn("__where", near(F.col("line").rlike("(?i)" + to_java(q.where)), CONTEXT, CONTEXT))
-        keep = keep & F.col("__where")
-    if q.unless is not None:
-        x = x.withColumn("__not", near(F.col("line").rlike("(?i)" + to_java(q.unless)), CONTEXT, CONTEXT))
-        keep = keep & ~F.col("__not")
-    return x.filter(keep).select("file_path", "line_no")
+    x = files.select("file_path", lines_of("content").alias("lines"))
+    numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    x = x.select("file_path", "lines", F.filter(numbered, lambda h: h["line"].rlike("(?i)" + to_java(q.find))).alias("found"))
+
+    def bare(line: Column) -> Column:
+        return F.btrim(line, F.lit(" \t\r"))
+
+    def kept(h: Column) -> Column:
+        ok = F.lit(True)
+        if q.scope in SCOPES:
+            pattern, above = SCOPES[q.scope]
+            ok = F.exists(around(F.col("lines"), h["line_no"], above, 0), lambda line: bare(line).rlike(pattern))
+        elif q.scope == "import":
+            ok = bare(h["line"]).rlike(IMPORT)
+        for text, wanted in ((q.where, True), (q.unless, False)):
+            if text is not None:
+                hit = context_hits(F.col("lines"), h["line_no"], CONTEXT, CONTEXT, "(?i)" + text)
+                ok = ok & (hit if wanted else ~hit)
+        return ok
+
+    return x.select("file_path", F.explode(F.filter("found", kept)).alias("h")).select("file_path", "h.line_no")

@@ -9,24 +9,25 @@ from tidewatch.operators import nested_tables as n
 from tidewatch.session import cut
 
 # Well-known packages a misspelled name is compared with.
-POPULAR = "react vue angular lodash express axios moment jquery webpack typescript requests numpy pandas flask django scipy urllib3 boto3 cryptography pyyaml rails rspec sinatra spring-core log4j junit".split()
+POPULAR = "requests numpy pandas lodash express react axios moment webpack babel django flask spring urllib3 beautifulsoup4 boto3 cors body-parser async chalk react-dom mongoose typescript eslint prettier jest".split()
 
 
 def typosquats(deps: DataFrame, popular: tuple[str, ...] = tuple(POPULAR)) -> DataFrame:
-    """name, lookalike: names one edit (two if longer than six) from a popular one, length within two, neither equal nor an extension of it.
+    """name, lookalike: names one edit (two from a popular one longer than six) away, length within two.
 
-    Popular names are an array in the row: no join of names with names.
+    A popular name itself is compared with the others. Neither may be the other with a dash and
+    more behind it. Popular names are an array in the row: no join of names with names.
     """
     name = F.lower("name")
 
     def close(t: Column) -> Column:
         d = F.levenshtein(name, t)
         size = F.abs(F.length(name) - F.length(t)) <= 2
-        ext = name.startswith(F.concat(t, F.lit("-")))
-        return size & ~ext & ((d == 1) | ((d == 2) & (F.length(t) > 6)))
+        longer = name.startswith(F.concat(t, F.lit("-"))) | t.startswith(F.concat(name, F.lit("-")))
+        return size & (name != t) & ~longer & ((d == 1) | ((d == 2) & (F.length(t) > 6)))
 
     names = F.array(*map(F.lit, popular))
-    x = deps.select("name").filter(F.col("name").isNotNull()).distinct().filter(~name.isin(*popular))
+    x = deps.select("name").filter(F.col("name").isNotNull()).distinct()
     return x.select("name", F.explode(F.filter(names, close)).alias("lookalike"))
 
 
@@ -84,65 +85,53 @@ def packages(results: DataFrame) -> DataFrame:
     return p.select(F.col("package_name").alias("name"), "ecosystem", F.coalesce("version", F.lit("")).alias("version")).filter(F.col("name").isNotNull()).distinct()
 
 
-SENSITIVE_PORTS = ("22", "23", "3389")
+# Container rules with severity and CWE; words of secrets and ports that should not be open.
+CONTAINER_RULES = {
+    "CONTAINER-LATEST-TAG": ("medium", "CWE-1104"), "CONTAINER-ROOT-USER": ("high", "CWE-250"), "CONTAINER-ENV-SECRET": ("critical", "CWE-312"), "CONTAINER-EXPOSE-SENSITIVE-PORT": ("high", "CWE-200"),
+    "CONTAINER-MISSING-USER": ("high", "CWE-250"), "CONTAINER-MISSING-HEALTHCHECK": ("low", "CWE-754"), "K8S-PRIVILEGED-CONTAINER": ("critical", "CWE-250"), "K8S-PRIVILEGE-ESCALATION": ("high", "CWE-250"),
+}
+SECRET_WORD = r"(?i)(password|secret|key|token|credentials)"
+SENSITIVE_PORT = r"\b(22|3389|23)\b"
+
+
+def _rule_rows(df: DataFrame) -> DataFrame:
+    """file_path, line_no, rule_id with the rule's severity, CWE and confidence."""
+    rule = F.create_map(*[x for k, (s, c) in CONTAINER_RULES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("severity"), F.lit(c).alias("cwe")))])[F.col("rule_id")]
+    conf = F.when(rule["severity"] == "critical", 0.95).when(rule["severity"] == "high", 0.85).otherwise(0.8)
+    return df.select("file_path", "line_no", "rule_id", rule["severity"].alias("severity"), rule["cwe"].alias("cwe"), conf.alias("confidence"))
 
 
 def dockerfile_rules(lines: DataFrame) -> DataFrame:
-    """file_path, line_no, rule: line rules, and line 0 for a file without USER or HEALTHCHECK."""
-    t = F.trim("line")
-    up = F.upper(t)
-    image = F.split(t, r"\s+")[1]
+    """file_path, line_no, rule_id, severity, cwe, confidence: line rules, and line 0 for a file without USER or HEALTHCHECK. Blank lines and comments do not count."""
+    x = lines.withColumn("t", F.btrim(F.col("line"), F.lit(" \t\r"))).withColumn("u", F.upper("t"))
+    live = (F.col("t") != "") & ~F.col("t").startswith("#")
+    user = F.col("u").startswith("USER ")
     checks = (
-        ("latest-tag", up.startswith("FROM ") & (image.endswith(":latest") | ~image.contains(":"))),
-        ("root-user", up.rlike(r"^USER\s+ROOT\b")),
-        ("env-secret", up.rlike(r"^(ENV|ARG)\s.*(PASSWORD|SECRET|TOKEN|API_KEY|APIKEY)")),
-        ("sensitive-port", up.rlike(r"^EXPOSE\s+(" + "|".join(SENSITIVE_PORTS) + r")(/|\s|$)")),
+        ("CONTAINER-LATEST-TAG", F.col("u").startswith("FROM ") & (F.lower("t").contains(":latest") | ~F.col("t").contains(":"))),
+        ("CONTAINER-ROOT-USER", user & (F.lower("t").contains("root") | (F.trim(F.expr("substring(t, 6)")) == "0"))),
+        ("CONTAINER-ENV-SECRET", F.col("u").rlike(r"^(ENV|ARG) ") & F.col("t").rlike(SECRET_WORD)),
+        ("CONTAINER-EXPOSE-SENSITIVE-PORT", F.col("u").startswith("EXPOSE ") & F.col("t").rlike(SENSITIVE_PORT)),
     )
-    hits = lines.select("file_path", "line_no", F.explode(F.array_compact(F.array(*[F.when(c, r) for r, c in checks]))).alias("rule"))
-    g = lines.groupBy("file_path").agg(F.max(up.startswith("USER ").cast("int")).alias("u"), F.max(up.startswith("HEALTHCHECK").cast("int")).alias("h"))
-    missing = F.explode(F.array_compact(F.array(F.when(F.col("u") == 0, "missing-user"), F.when(F.col("h") == 0, "missing-healthcheck"))))
-    return hits.unionByName(g.select("file_path", F.lit(0).cast("int").alias("line_no"), missing.alias("rule")))
+    hits = x.select("file_path", "line_no", F.explode(F.array_compact(F.array(*[F.when(live & c, r) for r, c in checks]))).alias("rule_id"))
+    g = x.groupBy("file_path").agg(F.max((live & user).cast("int")).alias("u"), F.max((live & F.col("u").startswith("HEALTHCHECK")).cast("int")).alias("h"))
+    missing = F.explode(F.array_compact(F.array(F.when(F.col("u") == 0, "CONTAINER-MISSING-USER"), F.when(F.col("h") == 0, "CONTAINER-MISSING-HEALTHCHECK"))))
+    return _rule_rows(hits.unionByName(g.select("file_path", F.lit(0).alias("line_no"), missing.alias("rule_id"))))
 
 
-def k8s_rules(lines: DataFrame) -> DataFrame:
-    """file_path, line_no, rule in files that hold both ``apiVersion:`` and ``kind:``."""
-    low = F.lower("line")
-    both = lines.groupBy("file_path").agg(F.max(F.col("line").contains("apiVersion:").cast("int")).alias("a"), F.max(F.col("line").contains("kind:").cast("int")).alias("k")).filter("a = 1 AND k = 1").select("file_path")
-    rule = F.when(low.contains("allowprivilegeescalation: true"), "privilege-escalation").when(low.contains("privileged: true"), "privileged")
-    return lines.join(both, "file_path", "left_semi").select("file_path", "line_no", rule.alias("rule")).filter(F.col("rule").isNotNull())
-
-
-# Tokens near a finding that show it is guarded, by weakness family.
-SAFE_TOKENS = {
-    "SQLI": ("= ?", "preparedstatement", "db.prepare(", "bindparam", "bindvalue", "sqlalchemy", "knex.", "sequelize.", "sanitize_sql", "limit"),
-    "XSS": ("htmlspecialchars(", "htmlentities(", "escape(", "dompurify.sanitize(", "bleach.clean(", "textcontent", "htmlencode("),
-    "SSRF": ("allowed_hosts", "allowlist", "whitelist", "isloopback(", "is_private(", "urlparse(", "new url("),
-    "CMDI": ("shell=false", "shlex.quote(", "shlex.split(", "escapeshellarg(", "execfile(", "shell: false"),
-    "INPUT_VALIDATION": ("process.env.", "os.environ", "os.getenv(", "env["),
-    "HARDCODED_SECRET": ("process.env.", "os.environ", "getenv(", "vault.read(", "changeme", "placeholder", "${"),
-    "CSRF": ("csrf_token", "csrfmiddlewaretoken", "protect_from_forgery", "authenticity_token", "antiforgerytoken"),
-}
-FAMILY_OF_CWE = {"CWE-89": "SQLI", "CWE-79": "XSS", "CWE-918": "SSRF", "CWE-78": "CMDI", "CWE-20": "INPUT_VALIDATION", "CWE-798": "HARDCODED_SECRET", "CWE-352": "CSRF"}
-SUPPRESS_AROUND = 15
-
-
-def suppressed(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Findings (file_path, line_no, rule_id, cwe) with ``suppressed``: a safe token of their family within 15 lines.
-
-    Lines flag the families whose tokens they hold; a running maximum of the flags in the file
-    answers all findings at once.
-    """
-    from pyspark.sql import Window as W
+def base_images(lines: DataFrame) -> DataFrame:
+    """Distinct base images: the last FROM of each file, without ``scratch`` and names that start with ``builder``."""
+    t = F.btrim(F.col("line"), F.lit(" \t\r"))
+    f = lines.filter(F.upper(t).startswith("FROM ")).groupBy("file_path").agg(F.max_by(F.get(F.split(t, r"\s+"), F.lit(1)), "line_no").alias("image"))
+    return f.select("image").filter((F.col("image") != "") & (F.col("image") != "scratch") & ~F.col("image").startswith("builder")).distinct()
+
 
-    w = W.partitionBy("file_path").orderBy("line_no").rowsBetween(-SUPPRESS_AROUND, SUPPRESS_AROUND)
+def k8s_rules(files: DataFrame) -> DataFrame:
+    """file_path, line_no, rule_id, severity, cwe, confidence in files that hold both ``apiVersion:`` and ``kind:``. No exchange: a file is one row."""
+    both = files.filter(F.col("content").contains("apiVersion:") & F.col("content").contains("kind:"))
+    x = both.select("file_path", F.posexplode(F.split("content", "\n")).alias("p", "line"))
     low = F.lower("line")
-    x = lines.select("file_path", "line_no", "line")
-    for fam, tokens in SAFE_TOKENS.items():
-        hit = F.lit(False)
-        for t in tokens:
-            hit = hit | low.contains(t)
-        x = x.withColumn(fam, F.max(hit.cast("int")).over(w) == 1)
-    safe = F.lit(False)
-    for cwe, fam in FAMILY_OF_CWE.items():
-        safe = F.when(F.col("cwe") == cwe, F.col(fam)).otherwise(safe)
-    return found.join(x.drop("line"), ["file_path", "line_no"]).select("file_path", "line_no", "rule_id", "cwe", safe.alias("suppressed"))
+    rules = F.array_compact(F.array(
+        F.when(low.contains("privileged: ") & low.contains("true"), "K8S-PRIVILEGED-CONTAINER"),
+        F.when(low.contains("allowprivilegeescalation: ") & low.contains("true"), "K8S-PRIVILEGE-ESCALATION"),
+    ))
+    return _rule_rows(x.select("file_path", (F.col("p") + 1).alias("line_no"), F.explode(rules).alias("rule_id")))

@@ -17,7 +17,14 @@ def exact_line_dedup(spark, sf):
 
 
 def proximity_clusters(spark, sf):
-    return o.proximity_clusters(_f(spark, sf))
+    return o.proximity_clusters(o.exact_line_dedup(_f(spark, sf)))
+
+
+def findings_pipeline(spark, sf):
+    """All engines' rows of each scan (the phases) in one, merged by line and by nearness, recalibrated, scored and numbered."""
+    f = table(spark, sf, "findings")
+    every = o.records(f, "static").unionByName(o.records(f, "ai")).unionByName(o.records(f, "final"))
+    return o.pipeline(every.dropDuplicates(["db_id"])).select("db_id", "scan_id", "severity", "n_merged", "from_line", "to_line", "trust_score", "sr_no")
 
 
 def family_key(spark, sf):
@@ -72,8 +79,8 @@ def compliance_nist(spark, sf):
 
 
 def mitre_enrich(spark, sf):
-    f = _f(spark, sf).withColumn("technique", o.technique(F.lower(F.concat_ws(" ", "issue_name", "description"))))
-    return f.filter(F.col("technique").isNotNull()).select("db_id", "technique")
+    f = o.with_technique(_f(spark, sf))
+    return f.filter(F.col("technique").isNotNull()).select("db_id", "technique", F.length("description").alias("n_chars"))
 
 
 def batch_numbering(spark, sf):
@@ -107,20 +114,38 @@ FAMILY_SQL = (
     + " ".join("WHEN " + " OR ".join(f"contains({_WORDS}, {_q(k)})" for k in ks) + f" THEN {_q(n)}" for n, ks in o.WORD_FAMILIES)
     + " WHEN rule_id <> '' THEN 'RULE:' || rule_id ELSE 'GENERIC:' || lower(issue_name) END END"
 )
-_MERGE = f"""count(*) AS n_merged, min(db_id) AS db_id,
-  arg_max(severity, {RANK} * 1000000000000 - db_id) AS severity, arg_max(cwe, {RANK} * 1000000000000 - db_id) AS cwe, arg_max(owasp, {RANK} * 1000000000000 - db_id) AS owasp,
-  arg_max(issue_name, ({RANK})::HUGEINT * 1000000000000000000 + length(description)::HUGEINT * 1000000000 - db_id) AS issue_name,
-  arg_max(description, ({RANK})::HUGEINT * 1000000000000000000 + length(description)::HUGEINT * 1000000000 - db_id) AS description,
-  coalesce(nullif(arg_min(rule_id, db_id), ''), arg_min(rule_id, db_id) FILTER (rule_id <> ''), '') AS rule_id, max(confidence) AS confidence,
-  CASE WHEN bool_or(ai_validated = 'Yes') THEN 'Yes' ELSE arg_min(ai_validated, db_id) END AS ai_validated"""
+
+
+def _merge(position: tuple[str, ...] = ("db_id",)) -> str:
+    before = ", ".join(f"p{i} := -{p}" for i, p in enumerate(position))
+    pos = "struct_pack(" + ", ".join(f"p{i} := {p}" for i, p in enumerate(position)) + ")"
+    rank = f"r := {RANK}"
+    return f"""count(*) AS n_merged, min(db_id) AS db_id,
+  arg_max(severity, struct_pack({rank}, {before})) AS severity, arg_max(cwe, struct_pack({rank}, {before})) AS cwe, arg_max(owasp, struct_pack({rank}, {before})) AS owasp,
+  arg_max(issue_name, struct_pack({rank}, n := length(description), {before})) AS issue_name, arg_max(description, struct_pack({rank}, n := length(description), {before})) AS description,
+  arg_max(remediation, struct_pack({rank}, h := (remediation <> '')::INT, n := length(description), {before})) AS remediation,
+  coalesce(arg_min(rule_id, {pos}) FILTER (rule_id <> ''), '') AS rule_id, max(confidence) AS confidence,
+  CASE WHEN bool_or(ai_validated = 'Yes') THEN 'Yes' ELSE arg_min(ai_validated, {pos}) END AS ai_validated"""
+
+
 _ENGINES = "SELECT {k}, string_agg(DISTINCT e, ', ' ORDER BY e) AS source FROM (SELECT {k}, trim(unnest(string_split(source, ','))) AS e FROM {t}) WHERE e <> '' GROUP BY ALL"
 _RISK = "least(100.0, 10.0 * critical_count + 5.0 * high_count + 2.0 * medium_count + 0.5 * low_count)"
 _TRUST = "least(100.0, round(100 * confidence + 15 * (len(string_split(source, ', ')) - 1) + CASE WHEN ai_validated = 'Yes' THEN 10 ELSE 0 END, 6))"
+_DEDUP = f"""x1 AS (SELECT *, CASE WHEN line <= 0 THEN db_id ELSE 0 END AS alone FROM f),
+m1 AS (SELECT scan_id, file_path, line, alone, {_merge()} FROM x1 GROUP BY ALL), s1 AS ({_ENGINES.format(k="scan_id, file_path, line, alone", t="x1")}),
+f1 AS (SELECT m1.* EXCLUDE (alone), coalesce(s1.source, '') AS source FROM m1 LEFT JOIN s1 USING (scan_id, file_path, line, alone))"""
+_CLUSTERS = f"""{_DEDUP}, x2 AS (SELECT *, {FAMILY_SQL} AS family FROM f1),
+d2 AS (SELECT DISTINCT scan_id, file_path, family, line FROM x2),
+n2 AS (SELECT *, CASE WHEN line - lag(line) OVER w > CASE WHEN regexp_matches(upper(family), 'SECRET|CREDENTIAL|HARDCODED') THEN 0 ELSE 15 END THEN 1 ELSE 0 END AS new FROM d2 WINDOW w AS (PARTITION BY scan_id, file_path, family ORDER BY line)),
+k2 AS (SELECT *, sum(new) OVER (PARTITION BY scan_id, file_path, family ORDER BY line) AS cluster_no FROM n2),
+y2 AS (SELECT x2.*, k2.cluster_no FROM x2 JOIN k2 USING (scan_id, file_path, family, line)),
+m2 AS (SELECT scan_id, file_path, family, cluster_no, min(line) AS from_line, max(line) AS to_line, {_merge(("line", "db_id"))} FROM y2 GROUP BY ALL), s2 AS ({_ENGINES.format(k="scan_id, file_path, family, cluster_no", t="y2")}),
+f2 AS (SELECT m2.*, coalesce(s2.source, '') AS source FROM m2 LEFT JOIN s2 USING (scan_id, file_path, family, cluster_no))"""
 _ACTIVE = "a AS (SELECT * FROM f WHERE status NOT IN ('false_positive', 'ignored'))"
 _LOW = "lower(concat_ws(' ', issue_name, description, rule_id))"
 
 
-def _recal() -> str:
+def _recal(source: str = "f") -> str:
     steps = (
         (f"(cwe IN ('CWE-338', 'CWE-330', 'CWE-331') OR contains({_LOW}, 'math.random') OR contains({_LOW}, 'predictable random'))", "'critical'", "high"),
         (f"cwe = 'CWE-79' AND NOT contains({_LOW}, 'stored')", "'critical'", "high"),
@@ -130,7 +155,7 @@ def _recal() -> str:
         (f"(cwe IN ('CWE-1336', 'CWE-94') OR contains({_LOW}, 'template injection') OR contains({_LOW}, 'ssti'))", "'medium', 'high'", "critical"),
         (f"(cwe = 'CWE-98' OR contains({_LOW}, 'file inclusion') OR contains({_LOW}, 'lfi'))", "'info', 'low'", "high"),
     )
-    sql = "SELECT *, severity AS old_severity FROM f"
+    sql = f"SELECT *, severity AS old_severity FROM {source}"
     for cond, frm, to in steps:
         sql = f"SELECT * REPLACE (CASE WHEN ({cond}) AND severity IN ({frm}) THEN '{to}' ELSE severity END AS severity) FROM ({sql})"
     return sql
@@ -151,21 +176,15 @@ SELECT c.control_id, coalesce(n, 0) AS n_findings, CASE WHEN n > 0 THEN 'fail' E
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_line_dedup, proximity_clusters, family_key, recalibrate, trust_score, three_way_split, priority_matrix, risk_score, policy_violations, cwe_top15, owasp_counts,
+        exact_line_dedup, proximity_clusters, findings_pipeline, family_key, recalibrate, trust_score, three_way_split, priority_matrix, risk_score, policy_violations, cwe_top15, owasp_counts,
         compliance_owasp, compliance_pci, compliance_nist, mitre_enrich, batch_numbering,
     )
 }
 ORACLE = {
-    "exact_line_dedup": f"""WITH {FINDINGS_SQL}, x AS (SELECT *, CASE WHEN line <= 0 THEN db_id ELSE 0 END AS alone FROM f),
-m AS (SELECT scan_id, file_path, line, alone, {_MERGE} FROM x GROUP BY ALL), s AS ({_ENGINES.format(k="scan_id, file_path, line, alone", t="x")})
-SELECT m.* EXCLUDE (alone), coalesce(s.source, '') AS source FROM m LEFT JOIN s USING (scan_id, file_path, line, alone)""",
-    "proximity_clusters": f"""WITH {FINDINGS_SQL}, x AS (SELECT *, {FAMILY_SQL} AS family FROM f),
-d AS (SELECT DISTINCT scan_id, file_path, family, line FROM x),
-n AS (SELECT *, CASE WHEN line - lag(line) OVER w > CASE WHEN regexp_matches(upper(family), 'SECRET|CREDENTIAL|HARDCODED') THEN 0 ELSE 15 END THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY scan_id, file_path, family ORDER BY line)),
-k AS (SELECT *, sum(new) OVER (PARTITION BY scan_id, file_path, family ORDER BY line) AS cluster_no FROM n),
-y AS (SELECT x.*, k.cluster_no FROM x JOIN k USING (scan_id, file_path, family, line)),
-m AS (SELECT scan_id, file_path, family, cluster_no, min(line) AS from_line, max(line) AS to_line, {_MERGE} FROM y GROUP BY ALL), s AS ({_ENGINES.format(k="scan_id, file_path, family, cluster_no", t="y")})
-SELECT m.*, coalesce(s.source, '') AS source FROM m LEFT JOIN s USING (scan_id, file_path, family, cluster_no)""",
+    "exact_line_dedup": f"WITH {FINDINGS_SQL}, {_DEDUP} SELECT * FROM f1",
+    "proximity_clusters": f"WITH {FINDINGS_SQL}, {_CLUSTERS} SELECT * FROM f2",
+    "findings_pipeline": f"""WITH {FINDINGS_SQL.replace("= 'final'", "IN ('static', 'ai', 'final')")}, {_CLUSTERS}, r AS (SELECT *, {_TRUST} AS trust_score FROM ({_recal("(SELECT *, from_line AS line FROM f2)")}))
+SELECT db_id, scan_id, severity, n_merged, from_line, to_line, trust_score, row_number() OVER (PARTITION BY scan_id ORDER BY {RANK} DESC, file_path, line, db_id) AS sr_no FROM r""",
     "family_key": f"WITH {FINDINGS_SQL} SELECT {FAMILY_SQL} AS family, count(*) AS n_findings FROM f GROUP BY 1",
     "recalibrate": f"WITH {FINDINGS_SQL} SELECT db_id, old_severity, severity FROM ({_recal()}) WHERE severity <> old_severity",
     "trust_score": f"WITH {FINDINGS_SQL} SELECT db_id, {_TRUST} AS trust_score FROM f",
@@ -185,6 +204,11 @@ UNION ALL SELECT scan_id, 'max-' || severity, severity, actual, limit_value FROM
     "compliance_owasp": _rolled(", ".join(f"({_q(i)})" for i, _ in o.OWASP), "SELECT regexp_extract(owasp, '(A(?:0[1-9]|10):2021)', 1) AS control_id, severity FROM a WHERE regexp_matches(owasp, 'A(0[1-9]|10):2021')"),
     "compliance_pci": _controls(o.PCI),
     "compliance_nist": _controls(o.NIST),
-    "mitre_enrich": f"WITH {FINDINGS_SQL}, t AS (SELECT db_id, lower(concat_ws(' ', issue_name, description)) AS t FROM f) SELECT * FROM (SELECT db_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, {_q(w)})" for w in ws) + f" THEN '{t}'" for t, ws in o.MITRE) + " END AS technique FROM t) WHERE technique IS NOT NULL",
+    "mitre_enrich": f"""WITH {FINDINGS_SQL}, t AS (SELECT *, lower(issue_name) AS t FROM f), k AS (SELECT *, CASE
+  WHEN contains(t, 'sql injection') THEN 'T1190' WHEN regexp_matches(t, 'command injection|os command|exec\\(|shell') THEN 'T1059' WHEN regexp_matches(t, 'xss|cross-site scripting') THEN 'T1189'
+  WHEN regexp_matches(t, 'hardcoded|secret|credential|password|api key|token') THEN 'T1078' WHEN regexp_matches(t, 'path traversal|directory traversal|lfi|rfi') THEN 'T1083'
+  WHEN regexp_matches(t, 'ssrf|deserialization|unserialize|xxe|xml external|ldap injection') THEN 'T1190' WHEN contains(t, 'open redirect') THEN 'T1189' WHEN regexp_matches(t, 'insecure random|weak random') THEN 'T1552' END AS technique FROM t)
+SELECT db_id, technique, length(description) + length(chr(10) || chr(10) || 'MITRE ATT&CK: ' || technique || ' - ') + CASE technique WHEN 'T1190' THEN 33 WHEN 'T1059' THEN 33 WHEN 'T1189' THEN 19 WHEN 'T1078' THEN 14 WHEN 'T1083' THEN 28 ELSE 21 END AS n_chars
+FROM k WHERE technique IS NOT NULL""",
     "batch_numbering": f"WITH {FINDINGS_SQL} SELECT db_id, row_number() OVER w AS sr_no, (row_number() OVER w - 1) // 30 AS batch_no FROM f WINDOW w AS (PARTITION BY scan_id ORDER BY {RANK} DESC, file_path, line, db_id)",
 }

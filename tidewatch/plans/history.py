@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import findings, graph, history
 from tidewatch.operators import rules as r
 from tidewatch.plans.analytics import FINDINGS_SQL
-from tidewatch.plans.code import LINES_SQL, _lines, _scan_sql
+from tidewatch.plans.code import LINES_SQL, _files, _lines, _scan_sql
+from tidewatch.plans.code import ORACLE as CODE_SQL
 from tidewatch.session import table
 
 
@@ -51,27 +52,32 @@ def validation_applied(spark, sf):
     return history.validated(_rec(spark, sf), table(spark, sf, "validations"))
 
 
+def _places(spark, sf):
+    return r.scan(_lines(spark, sf)).select("file_path", "line_no").distinct()
+
+
 def enclosing_function_asof(spark, sf):
-    ln = _lines(spark, sf)
-    places = r.scan(ln).select("file_path", "line_no").distinct()
-    return places.join(graph.with_function(ln).select("file_path", "line_no", "fn"), ["file_path", "line_no"]).filter(F.col("fn").isNotNull())
+    return graph.functions_at(_files(spark, sf), _places(spark, sf))
 
 
 def call_graph_edges(spark, sf):
-    return graph.edges(_lines(spark, sf))
+    return graph.edges(graph.marks(_files(spark, sf)))
 
 
 def reachable_functions(spark, sf):
-    return graph.reachable(_lines(spark, sf))
+    return graph.reachable(_files(spark, sf))
 
 
 def annotate_unreachable(spark, sf):
-    ln = _lines(spark, sf)
-    return graph.unreachable_lines(ln, r.scan(ln).select("file_path", "line_no").distinct()).select("file_path", "line_no", "fn")
+    """Rule findings after the reachability pass and after files that serve the web took the mark off again."""
+    f = _files(spark, sf)
+    found = r.findings(f)
+    low = graph.annotated(found, graph.unreachable_places(f, found.select("file_path", "line_no").distinct()))
+    return findings.web_reachable(low, f).select("file_path", "line_no", "rule_id", "severity", "description", F.round("confidence", 6).alias("confidence"))
 
 
 def taint_closure(spark, sf):
-    return graph.tainted(_lines(spark, sf))
+    return graph.tainted(_files(spark, sf))
 
 
 def _q(s: str) -> str:
@@ -92,7 +98,8 @@ def _sides(key: str) -> str:
 _EXT = r"lower(regexp_extract(file_path, '(\.[^./]+)$', 1))"
 _VAL = "v AS (SELECT finding_id, x.* FROM (SELECT finding_id, max(struct_pack(created_at := created_at, validation_id := validation_id, is_true_positive := is_true_positive, v_confidence := confidence, adj := lower(trim(coalesce(severity_adjustment, ''))))) AS x FROM validations WHERE finding_id IS NOT NULL GROUP BY 1))"
 _ACC = "acc AS (SELECT severity, count(*) AS assessed, count(*) FILTER (is_true_positive) AS true_positives FROM f JOIN v ON db_id = finding_id WHERE is_true_positive IS NOT NULL GROUP BY 1)"
-_FN = f"""d AS (SELECT *, coalesce(nullif(regexp_extract(line, {_q(graph.DEFINITION)}, 1), ''), nullif(regexp_extract(line, {_q(graph.DEFINITION)}, 2), '')) AS defines FROM lines),
+_DEF = "coalesce(" + ", ".join(f"nullif(regexp_extract(line, {_q(d)}, 1), '')" for d in reversed(graph.DEFINITIONS)) + ")"
+_FN = f"""d AS (SELECT *, {_DEF} AS defines FROM lines),
 fnl AS (SELECT *, last_value(defines IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fn FROM d)"""
 _EDGES = f"""e AS (SELECT DISTINCT fn AS caller, callee FROM (SELECT fn, unnest(regexp_extract_all(line, {_q(graph.CALL)}, 1)) AS callee FROM fnl WHERE fn IS NOT NULL)
   WHERE fn <> callee AND callee NOT IN ({", ".join(map(_q, graph.KEYWORDS))}))"""
@@ -128,6 +135,10 @@ FROM f LEFT JOIN v ON db_id = finding_id WHERE severity NOT IN ('low', 'info')""
     "enclosing_function_asof": f"WITH {LINES_SQL}, {_FN}, p AS (SELECT DISTINCT file_path, line_no FROM ({_scan_sql(r.RULES)})) SELECT file_path, line_no, fn FROM fnl SEMI JOIN p USING (file_path, line_no) WHERE fn IS NOT NULL",
     "call_graph_edges": f"WITH {LINES_SQL}, {_FN}, {_EDGES} SELECT * FROM e",
     "reachable_functions": f"{_REACH} SELECT name FROM rch",
-    "annotate_unreachable": f"{_REACH}, p AS (SELECT DISTINCT file_path, line_no FROM ({_scan_sql(r.RULES)})) SELECT file_path, line_no, fn FROM fnl SEMI JOIN p USING (file_path, line_no) WHERE fn IS NOT NULL AND fn NOT IN (SELECT name FROM rch)",
+    "annotate_unreachable": f"""{_REACH}, m AS ({CODE_SQL["rule_findings"]}), meta(rule_id, description) AS (VALUES {", ".join(f"({_q(x.rule_id)}, {_q(x.description)})" for x in r.RULES)}),
+web AS (SELECT file_path FROM files WHERE {" OR ".join(f"contains(lower(content), {_q(k)})" for k in findings.WEB_MARKERS)}),
+x AS (SELECT m.*, description, fn, fn IS NOT NULL AND fn NOT IN (SELECT name FROM rch) AS dead, file_path IN (SELECT file_path FROM web) AS web FROM m JOIN meta USING (rule_id) JOIN fnl USING (file_path, line_no))
+SELECT file_path, line_no, rule_id, CASE WHEN dead AND web THEN 'high' WHEN dead THEN 'info' ELSE severity END AS severity,
+  CASE WHEN dead THEN CASE WHEN web THEN '' ELSE '[UNREACHABLE] ' END || description || ' (function ' || chr(39) || fn || chr(39) || ' is not called from any entry point)' ELSE description END AS description, round(CASE WHEN dead THEN confidence * 0.3 ELSE confidence END, 6) AS confidence FROM x""",
     "taint_closure": f"WITH RECURSIVE {LINES_SQL}, {_FN}, {_EDGES}, t AS (SELECT DISTINCT fn AS name FROM fnl WHERE fn IS NOT NULL AND regexp_matches(line, {_q(graph.SOURCE)}) UNION SELECT e.caller FROM t JOIN e ON e.callee = t.name) SELECT name FROM t",
 }

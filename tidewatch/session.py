@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -55,12 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and read it back.
 
     The folder must be shared by all executors, so that a lost executor loses no
-    part of it. Only where the session names none (tests on one machine) a folder
-    of this machine is set.
+    part of it: where a cluster names none this is an error. Only with a local
+    master (tests on one machine) a folder of this machine is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
