@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import code_model, findings, history, supply
+from tidewatch.operators import code_model, findings, history, supply, suppression
 from tidewatch.plans import registry
 from tidewatch.sources import manifests
 
@@ -43,10 +43,11 @@ def test_fold(spark):
     f = rec(spark, [
         dict(severity="high", description="aaaaa", rule_id="R1", source="x", remediation="1", cwe="C1"),
         dict(severity="critical", description="bbb", rule_id="R2", source="y, x", cwe="C2", confidence=0.9),
-        dict(severity="critical", description="ccccccccc", rule_id="R3", source="z", cwe="C3", ai_validated="Yes"),
+        dict(severity="critical", description="ccccccccc", rule_id="R3", source="z", cwe="C3", ai_validated="Yes", remediation="3"),
     ])
     (r,) = findings.exact_line_dedup(f).collect()
     assert (r.severity, r.description, r.cwe, r.rule_id, r.source, r.confidence, r.ai_validated, r.n_merged) == ("critical", "ccccccccc", "C2", "R1", "x, y, z", 0.9, "Yes", 3)
+    assert r.remediation == "3"
     assert findings.exact_line_dedup(rec(spark, [dict(line_number="N/A"), dict(line_number="0")])).count() == 2
 
 
@@ -103,20 +104,98 @@ def test_manifest_kinds(spark):
 
 
 def test_container_rules(spark):
-    ln = spark.createDataFrame([("D", i, x) for i, x in enumerate(["FROM node", "ENV API_KEY=x", "EXPOSE 22"], 1)], "file_path string, line_no int, line string")
-    assert {r.rule for r in supply.dockerfile_rules(ln).collect()} == {"latest-tag", "env-secret", "sensitive-port", "missing-user", "missing-healthcheck"}
-    k = spark.createDataFrame([("K", i, x) for i, x in enumerate(["apiVersion: v1", "kind: Pod", "  privileged: true", "  allowPrivilegeEscalation: true"], 1)], "file_path string, line_no int, line string")
-    assert {(r.line_no, r.rule) for r in supply.k8s_rules(k).collect()} == {(3, "privileged"), (4, "privilege-escalation")}
+    docker = ["# FROM x:latest", "FROM node", "ENV API_KEY=x", "ARG credentials", "EXPOSE 8080 22", "  user 0", "FROM a:1 AS b", "USER rooted"]
+    ln = spark.createDataFrame([("D", i, x) for i, x in enumerate(docker, 1)] + [("E", 1, "FROM x:LATEST")], "file_path string, line_no int, line string")
+    got = {(r.file_path, r.line_no, r.rule_id, r.severity, r.cwe, r.confidence) for r in supply.dockerfile_rules(ln).collect()}
+    assert got == {
+        ("D", 2, "CONTAINER-LATEST-TAG", "medium", "CWE-1104", 0.8), ("D", 3, "CONTAINER-ENV-SECRET", "critical", "CWE-312", 0.95), ("D", 4, "CONTAINER-ENV-SECRET", "critical", "CWE-312", 0.95), ("D", 5, "CONTAINER-EXPOSE-SENSITIVE-PORT", "high", "CWE-200", 0.85),
+        ("D", 6, "CONTAINER-ROOT-USER", "high", "CWE-250", 0.85), ("D", 8, "CONTAINER-ROOT-USER", "high", "CWE-250", 0.85), ("D", 0, "CONTAINER-MISSING-HEALTHCHECK", "low", "CWE-754", 0.8),
+        ("E", 1, "CONTAINER-LATEST-TAG", "medium", "CWE-1104", 0.8), ("E", 0, "CONTAINER-MISSING-USER", "high", "CWE-250", 0.85), ("E", 0, "CONTAINER-MISSING-HEALTHCHECK", "low", "CWE-754", 0.8),
+    }
+    assert {r.image for r in supply.base_images(ln).collect()} == {"a:1", "x:LATEST"}
+    text = "apiVersion: v1\nkind: Pod\n  privileged: true\n  allowPrivilegeEscalation: 'true'\n  privileged: false"
+    k = spark.createDataFrame([("K", text), ("L", text.replace("kind:", ""))], "file_path string, content string")
+    assert {(r.file_path, r.line_no, r.rule_id) for r in supply.k8s_rules(k).collect()} == {("K", 3, "K8S-PRIVILEGED-CONTAINER"), ("K", 4, "K8S-PRIVILEGE-ESCALATION")}
     s = spark.createDataFrame([(9.8,), (7.0,), (3.9,)], "s double")
     assert [r[0] for r in s.select(supply.cvss_severity(F.col("s").cast("string"))).collect()] == ["critical", "high", "low"]
 
 
-def test_taint_and_checks(spark):
-    assert (code_model.confidence(10, 0), code_model.confidence(60, 2), code_model.confidence(150, 5)) == (0.95, 0.8, 0.7)
+def test_techniques(spark):
+    want = {"Command injection": "T1059", "Shell use": "T1059", "SQL Injection": "T1190", "Reflected XSS": "T1189", "Hardcoded secret": "T1078", "Path traversal": "T1083", "SSRF": "T1190", "Weak random": "T1552", "Open redirect": "T1189", "Data in log": None}
+    f = rec(spark, [dict(issue_name=n, description="sql injection") for n in want])
+    got = {r.issue_name: r.technique for r in findings.with_technique(f).collect()}
+    assert got == want
+    (r,) = findings.with_technique(f).filter("issue_name = 'SSRF'").collect()
+    assert r.description == "sql injection\n\nMITRE ATT&CK: T1190 - Exploit Public-Facing Application"
+
+
+def test_suppression(spark):
+    cases = [
+        ("SQL text", "CWE-89", "db.prepare(q)\n" + "x\n" * 14 + "bad", 16, True), ("SQL too far", "CWE-89", "db.prepare(q)\n" + "x\n" * 15 + "bad", 17, False), ("canonical alone", "CWE-22", "os.path.realpath(p)\nopen(p)", 2, False),
+        ("canonical and bounded", "CWE-22", "os.path.realpath(p)\np.startswith(x)\nopen(p)", 3, True), ("environment", "CWE-798", "key = os.environ['K']", 1, True), ("environment left", "CWE-798", "os.environ['K'] = 'abc'", 1, False), ("placeholder", "CWE-798", "key = 'CHANGEME'", 1, True),
+        ("text content", "CWE-79", "el.textContent = v", 1, True), ("with html", "CWE-79", "el.textContent += a.innerHTML", 1, False), ("own line only", "CWE-20", "x = process.env.A", 1, True), ("not near", "CWE-20", "process.env.A\nx", 2, False), ("by words", "", "yaml.safe_load(x)", 1, True), ("no family", "", "yaml.safe_load(x)", 1, False),
+    ]
+    files = spark.createDataFrame([(n, t, "clash") for n, _, t, _, _ in cases] + [("empty", "", "")], "file_path string, content string, lines string")
+    rows = [(n, at, "r", "unsafe deserialization" if n == "by words" else "n", "d", "high", c, "No", 7) for n, c, _, at, _ in cases] + [("gone", 1, "r", "n", "d", "high", "CWE-89", "No", 7), ("empty", 1, "r", "n", "d", "high", "CWE-89", "No", 7), ("empty", 1, "r", None, None, None, None, None, 7)]
+    found = spark.createDataFrame(rows, "file_path string, line_no int, rule_id string, issue_name string, description string, severity string, cwe string, ai_validated string, places int")
+    out = suppression.suppressed(files, found).collect()
+    assert len(out) == len(rows)
+    got = {r.file_path: r.suppressed for r in out}
+    assert got == {n: w for n, _, _, _, w in cases} | {"gone": False, "empty": False}
+    hit = next(r for r in out if r.file_path == "environment")
+    assert (hit.severity, hit.description, hit.ai_validated, hit.places) == ("info", "[SUPPRESSED] d", "No (False Positive - Safe Pattern)", 7)
+
+
+def test_pipeline_numbers_and_merges(spark):
+    f = rec(spark, [dict(line_number="1", cwe="CWE-79", source="a", confidence=0.5), dict(line_number="9", cwe="CWE-79", source="b", severity="critical"), dict(line_number="60", cwe="CWE-79"), dict(scan_id=None, line_number="N/A")])
+    got = {(r.scan_id, r.from_line, r.to_line): (r.severity, r.n_merged, r.trust_score, r.sr_no) for r in findings.pipeline(f).collect()}
+    assert got == {("s", 1, 9): ("high", 2, 65.0, 1), ("s", 60, 60): ("high", 1, 50.0, 2), ("", 0, 0): ("high", 1, 50.0, 1)}
+
+
+def test_taint_flows(spark):
+    assert (code_model.confidence(10, 0), code_model.confidence(60, 2), code_model.confidence(150, 5), code_model.confidence(10, 0, True)) == (0.95, 0.8, 0.7, 0.9)
     code = "def f():\n  a = request.args.get('x')\n  b = a + '1'\n  cur.execute(b)\n  c = escape(a)\n  cur.execute(c)\n"
-    assert [(v, s, n, h) for v, s, n, h, _, _ in code_model.flows(code)] == [("b", 2, 4, 1)]
-    files = spark.createDataFrame([("a.py", "python", "x = eval(f(1))\npassword = 'hunter22'\n"), ("b.txt", "", "eval(1)"), ("c.py", "python", "")], "file_path string, syntax string, content string")
-    assert {(r.check_id, r.file_path, r.line_no) for r in code_model.checks(code_model.calls(files)).collect()} == {("eval-call", "a.py", 1), ("literal-secret", "a.py", 2)}
+    assert [f[:3] + f[4:7] for f in code_model.flows(code, "python")] == [("b", 2, 4, "SQL", "CWE-89", 1)]
+    guarded = code.replace("  cur.execute(b)", "  if b not in seen: raise X\n  cur.execute(b)")
+    assert [f[7:] for f in code_model.flows(guarded, "python")] == [(True, 0.25)]
+    assert code_model.flows(code.replace("execute(b)", "execute('a = ?', [b])"), "python") == []
+    assert code_model.flows(code, "go") == []
+    kinds = {(p, k) for _, p, k, _, _ in code_model.sink_table()}
+    assert {(r"\.execSQL\s*\(", "Command"), (r"db\.Query\s*\(", "Injection"), (r"eval\s*\(", "Code"), (r"fetch\s*\(", "SSRF"), (r"unserialize\s*\(", "Deserialization")} <= kinds
+    schema = "file_path string, syntax string, content string"
+    two = spark.createDataFrame([("in.py", "python", "def read_it():\n  q = request.args['z']\n  return q\n"), ("run.py", "python", "def go_on():\n  a = read_it()\n  os.system(a)\n"), ("x.txt", "", code), ("e.py", "python", "")], schema)
+    got = [(r.file_path, r.source_line, r.sink_line, r.kind, r.confidence) for r in code_model.taint_flows(two).collect()]
+    assert got == [("run.py", 2, 3, "Command", 0.9)]
+    assert code_model.taint_flows(two, across=False).count() == 0
+    assert {r.name for r in code_model.tainted_functions(code_model.function_facts(two)).collect()} == {"read_it", "go_on"}
+
+
+CHECKS = [
+    ("python", "eval(x)", "ast-python-dangerous-eval"), ("python", "execute('a %s' % x)", "ast-python-sql-injection"), ("python", "system(request.args)", "ast-python-command-injection"), ("go", "log.Printf(user.Email)", "ast-privacy-pii-logging"),
+    ("python", "api_key = 'aK9x2LmQ7zR4tY8w'", "ast-python-hardcoded-secret"), ("python", "render_template_string(x)", "ast-python-ssti"), ("javascript", "new Function(x)", None), ("javascript", "Function(x)", "ast-js-dangerous-eval"),
+    ("javascript", "a.innerHTML.replace(x)", "ast-js-xss-innerhtml"), ("typescript", "const token = 'aK9x2LmQ7zR4tY8w'", "ast-js-hardcoded-secret"), ("java", 's.executeQuery("a" + b)', "ast-java-sql-injection"), ("java", "Runtime.getRuntime().exec(c)", "ast-java-command-injection"),
+    ("java", "in.readObject()", "ast-java-insecure-deserialization"), ("java", "res.getWriter().print(req.getParameter(x))", "ast-java-xss-response"), ("java", 'String password = "x"', "ast-java-hardcoded-secret"), ("java", 'new CipherBox("DES")', "ast-java-weak-cipher"),
+    ("kotlin", "settings.javaScriptEnabled = true", None), ("kotlin", "javaScriptEnabled = true", "ast-kotlin-insecure-webview"), ("kotlin", 'db.rawQuery("a $b")', "ast-kotlin-sql-injection"), ("kotlin", "Log.d(token)", "ast-kotlin-sensitive-logging"), ("kotlin", "startActivity(Intent(x))", "ast-kotlin-implicit-intent"),
+    ("kotlin", "getSharedPreferences(MODE_WORLD_READABLE)", "ast-kotlin-insecure-sharedprefs"), ("kotlin", 'val apiKey = "x"', None), ("kotlin", 'apiKey = "x"', "ast-kotlin-hardcoded-secret"), ("go", 'db.Query(fmt.Sprintf("a"))', "ast-go-sqli-db-dynamic"), ("go", "exec.Command(fmt.Sprintf(a))", "ast-go-cmdi-exec-sprintf"),
+    ("go", "os.Open(r.FormValue(a))", "ast-go-path-traversal"), ("go", "template.New(a).Parse(r.FormValue(a))", "ast-go-ssti-template-parse"), ("go", 'q := "select a" + r.FormValue(b)', "ast-go-sqli-concat-assignment"), ("ruby", 'system("a #{params[:b]}")', "ast-ruby-cmdi-params"),
+    ("ruby", 'User.where("a #{params[:b]}")', "ast-ruby-sqli-where"), ("ruby", "eval(params[:a])", "ast-ruby-code-injection-eval"), ("rust", 'Command::new("ls")', "ast-rust-cmdi-command-new"), ("rust", 'format!("select {}", a)', "ast-rust-sqli-format-macro"),
+]
+
+
+def test_every_check_has_its_case(spark):
+    files = spark.createDataFrame([(str(i), lang, code) for i, (lang, code, _) in enumerate(CHECKS)], "file_path string, syntax string, content string")
+    got = {}
+    for r in code_model.checks(code_model.calls(files)).collect():
+        got.setdefault(int(r.file_path), set()).add(r.check_id)
+    for i, (_, code, want) in enumerate(CHECKS):
+        assert want is None or want in got.get(i, set()), (code, want, got.get(i))
+    assert {c for _, _, c in CHECKS if c} == {c[0] for c in code_model._checks()}
+
+
+def test_packages_the_code_names(spark):
+    words = code_model.identifiers(spark.createDataFrame([("a", "python", "import MyLodashUtil\nx = 1"), ("b", "", "react")], "file_path string, syntax string, content string"))
+    deps = spark.createDataFrame([("lodash", 1), ("react", 2), (None, 3), ("", 4)], "name string, word int")
+    assert {(r.name, r.word): r.used for r in code_model.used_packages(deps, words).collect()} == {("lodash", 1): True, ("react", 2): False, (None, 3): False, ("", 4): False}
 
 
 def test_fixed_versions_of_the_own_package(spark):
@@ -134,8 +213,8 @@ def test_fixed_versions_of_the_own_package(spark):
 
 def test_long_arguments_are_kept_whole(spark):
     long = "cur.execute('''SELECT a\n" + "  , column_of_a_long_statement\n" * 300 + "''' % name)\n"
-    files = spark.createDataFrame([("a.py", "python", long)], "file_path string, syntax string, content string")
-    assert [(r.check_id, r.line_no) for r in code_model.checks(code_model.calls(files)).collect()] == [("sql-format", 1)]
+    files = spark.createDataFrame([("a.py", "python", long.replace("cur.", ""))], "file_path string, syntax string, content string")
+    assert [(r.check_id, r.line_no) for r in code_model.checks(code_model.calls(files)).collect()] == [("ast-python-sql-injection", 1)]
 
 
 def test_ends_of_brackets_as_read_from_each_start():

@@ -73,7 +73,7 @@ def cwe_id(c: Column) -> Column:
     """The first CWE-NNN; N/A if there is none; blank and N/A stay."""
     t = trimmed(c)
     x = F.regexp_extract(t, r"CWE-\d+", 0)
-    return F.when((t == "") | (F.upper(t) == "N/A"), t).when(x != "", x).otherwise("N/A")
+    return F.when(t.isNull() | (t == "") | (F.upper(t) == "N/A"), t).when(x != "", x).otherwise("N/A")
 
 
 def owasp_label(c: Column) -> Column:

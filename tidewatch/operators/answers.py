@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import scalars as fn
 from tidewatch.functions.text import folded, trimmed
@@ -134,9 +135,13 @@ def parsed(text: str | None) -> str | None:
     return None
 
 
+def _with(df: DataFrame, *texts: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in texts]])
+
+
 def with_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
     """``out``: the JSON found in ``column`` (null if none). Other columns stay."""
-    schema = df.schema.add(out, "string")
+    schema = _with(df, out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,7 +152,7 @@ def with_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
 
 def generated(prompts: DataFrame, answer: Callable[[str], str]) -> DataFrame:
     """``answer`` of a model to each row's ``prompt`` in Arrow batches; a failing call gives a null answer and its error. The callable is the caller's: a client, or a table of recorded answers."""
-    schema = prompts.schema.add("answer", "string").add("error", "string")
+    schema = _with(prompts, "answer", "error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,6 +244,7 @@ def judged(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     severity and name and counts as confirmed. Findings no verdict speaks of stay as they are.
     Of several verdicts on one master the last one kept counts.
     """
+    found = found.select("db_id", "issue_name", "severity", "source", "ai_validated", "ai_reasoning")
     v = verdicts.filter(F.col("master_id").isNotNull()).withColumn("drop", F.coalesce(F.col("verdict"), F.lit("")) == "drop")
     v = v.groupBy("master_id", "drop").agg(F.max_by(F.struct("reason", "final_severity", "simplified_name"), "nth").alias("x"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("duplicate_ids", F.array().cast("array<long>"))))).alias("duplicate_ids"))
     kept = v.filter(~F.col("drop"))

@@ -72,11 +72,17 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             line, seen = 1, 0
             found = [m for m in _CALL.finditer(text) if m[1] not in _NOT_CALLS]
             ends = _ends(text, [m.end() - 1 for m in found])
+            roots: dict[int, str] = {}
             for m in found:
                 line += text.count("\n", seen, m.start())
                 seen = m.start()
-                args = text[m.end() - 1 : ends[m.end() - 1]]
-                rows.append((path, syntax, "call", line, m[1], args, ""))
+                end = ends[m.end() - 1]
+                args = text[m.end() - 1 : end]
+                # A call on another call's value is named after the first call of the chain, too.
+                before = len(text[max(m.start() - 80, 0) : m.start() - 1].rstrip()) + max(m.start() - 80, 0) if text[m.start() - 1 : m.start()] == "." else -1
+                root = roots.get(before, "")
+                roots[end] = root or m[1]
+                rows.append((path, syntax, "call", line, f"{root}().{m[1]}" if root else m[1], args, ""))
                 size += len(args)
                 if size > _FRAME:
                     yield pd.DataFrame(rows, columns=names)
@@ -88,7 +94,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """file_path, syntax, node (call or assign), line_no, fn, args (of an assignment: the name), value. Nested calls each give a row."""
+    """file_path, syntax, node (call or assign), line_no, fn, args (of an assignment: the name), value. Nested and chained calls each give a row."""
     return files.filter("syntax <> ''").mapInPandas(_extract, "file_path string, syntax string, node string, line_no int, fn string, args string, value string")
 
 

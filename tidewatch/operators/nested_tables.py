@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import cut
+
 #: kind of the element, by name of its list and kind of the object that holds the list ("" = the document).
 SHAPE = {
     "": {"results": "item", "vulns": "vulnerability"},
@@ -191,7 +193,7 @@ def found(results: DataFrame) -> DataFrame:
 
 def affected_events(results: DataFrame) -> DataFrame:
     """Version events of each advisory with the affected package, joined back along the parent links."""
-    n = nodes(results)
+    n = cut(nodes(results))  # parsed once
     event = flat_table(n, "event").withColumn("affected_path", parent_path(F.col("parent_path")))
     affected = flat_table(n, "affected").select("result_id", F.col("node_path").alias("affected_path"), "package_name", "ecosystem")
     return event.join(affected, ["result_id", "affected_path"]).select("result_id", "node_path", "package_name", "ecosystem", "introduced", "fixed", "last_affected")

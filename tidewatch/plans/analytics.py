@@ -90,6 +90,10 @@ def batch_numbering(spark, sf):
 _BL = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160)"
 
 
+def _bl() -> str:
+    return _BL
+
+
 def _tx(c: str) -> str:
     return f"coalesce(trim({c}, {_BL}), '')"
 

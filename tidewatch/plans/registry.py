@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, code, history, snapshots, supply
+from tidewatch.plans import analytics, code, history, reports, snapshots, supply
 
-_MODULES = (snapshots, code, analytics, history, supply)
+_MODULES = (snapshots, code, analytics, history, supply, reports)
 
 
 def queries() -> dict:
