@@ -67,12 +67,6 @@ def to_java(pattern: str) -> str:
     return re.sub(r"(?<!\\)\$$", r"\\z", p)
 
 
-def selected(rules: Sequence[Rule], languages: Sequence[str]) -> list[Rule]:
-    """Rules whose languages meet those of the corpus; rules without languages always (partition pruning)."""
-    have = set(languages)
-    return [r for r in rules if not r.languages or have & set(r.languages)]
-
-
 def without_blocked(rules: Sequence[Rule], blocked: Sequence[str] = BLOCKED) -> list[Rule]:
     return [r for r in rules if r.rule_id not in blocked]
 

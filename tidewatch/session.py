@@ -59,7 +59,12 @@ def cut(df: DataFrame) -> DataFrame:
     part of it: where a cluster names none this is an error. Only with a local
     master (tests on one machine) a folder of this machine is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (see ``cut``), set if need be."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -68,4 +73,4 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

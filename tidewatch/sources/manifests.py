@@ -100,11 +100,49 @@ def gemfile_lock(lines: DataFrame) -> DataFrame:
     return _out(x, parts[0], F.translate(parts[1], "()", ""), "RubyGems", F.col("line_no"))
 
 
+def _requoted(text: str) -> str:
+    """Double-quoted values, in which backslashes are escapes, as single-quoted ones."""
+    import re
+
+    return re.sub(r'(?m)^(\s*(?:- )?(?:[\w-]+:\s*)?)"(.*)"\s*$', lambda m: m[1] + "'" + m[2].replace('\\"', '"').replace("'", "''") + "'", text)
+
+
+def load_rule_folder(root: str) -> list[Rule]:
+    """Rules of all YAML files below a folder of the driver, in the order of their names; the first rule of an id counts. Rule files are few and small: they are read here and sent to the workers as data."""
+    from pathlib import Path
+
+    found: dict[str, Rule] = {}
+    for p in sorted(x for x in Path(root).rglob("*") if x.suffix in (".yaml", ".yml")):
+        for r in load_rules(p.read_text(encoding="utf-8", errors="replace")):
+            found.setdefault(r.rule_id, r)
+    return list(found.values())
+
+
+MANIFEST_NAMES = ("package.json", "requirements.txt", "go.mod", "pom.xml", "build.gradle", "composer.json", "Gemfile.lock", "yarn.lock", "pnpm-lock.yaml")
+
+
+def collect(files: DataFrame) -> DataFrame:
+    """Dependencies of all nine kinds of manifests (by base name) in the top folder of files (file_path, content)."""
+    from functools import reduce
+
+    from tidewatch.sources.corpus import lines
+
+    top = files.select("file_path", "content").filter(~F.regexp_replace("file_path", r"^(?:\./)+", "").contains("/"))
+
+    def of(name: str) -> DataFrame:
+        return top.filter(F.element_at(F.split("file_path", "/"), -1) == name)
+
+    whole = {"package.json": package_json, "pom.xml": pom_xml, "composer.json": composer_json}
+    by_line = {"requirements.txt": requirements, "go.mod": go_mod, "build.gradle": gradle, "Gemfile.lock": gemfile_lock, "yarn.lock": yarn_lock, "pnpm-lock.yaml": pnpm_lock}
+    parts = [f(of(n)) for n, f in whole.items()] + [f(lines(of(n))) for n, f in by_line.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_rules(text: str) -> list[Rule]:
     """Rules of a YAML text: a list or a map with ``rules``; patterns as list of texts or of {regex}, or one ``pattern``.
 
-    Where the whole does not parse, each ``- id:`` part is tried alone. Rules without an id or
-    without a pattern that compiles are dropped.
+    Where the whole does not parse, each ``- id:`` part is tried alone, then with its open double
+    quotes doubled as single ones. Rules without an id or without a pattern that compiles are dropped.
     """
     import re
 
@@ -122,10 +160,12 @@ def load_rules(text: str) -> list[Rule]:
     except yaml.YAMLError:
         raw = []
         for part in re.split(r"(?m)^(?=\s*- id:)", text):
-            try:
-                raw += rules_of(yaml.safe_load(part))
-            except yaml.YAMLError:
-                continue
+            for attempt in (part, _requoted(part)):
+                try:
+                    raw += rules_of(yaml.safe_load(attempt))
+                    break
+                except yaml.YAMLError:
+                    continue
 
     def texts(d: dict, *names: str) -> tuple[str, ...]:
         v = next((d[n] for n in names if d.get(n)), [])
@@ -145,5 +185,5 @@ def load_rules(text: str) -> list[Rule]:
         langs = d.get("languages") or d.get("language") or ()
         patterns = texts(d, "patterns", "pattern")
         if d.get("id") and patterns:
-            out.append(Rule(str(d["id"]), tuple(map(str, langs if isinstance(langs, list | tuple) else [langs])), patterns, str(d.get("severity") or "").lower(), str(d.get("cwe") or ""), str(d.get("description") or ""), texts(d, "negative_patterns"), float(d.get("confidence") or 0)))
+            out.append(Rule(str(d["id"]), tuple(map(str, langs if isinstance(langs, list | tuple) else [langs])), patterns, str(d.get("severity") or "").lower(), str(d.get("cwe") or ""), str(d.get("description") or ""), texts(d, "negative_patterns"), float(d.get("confidence") or 0), str(d.get("framework") or "")))
     return out

@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.session import shared_folder
 
 
 def windowed(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -16,13 +19,24 @@ def windowed(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> D
 
 
 def windowed_once(spark: SparkSession, path: str) -> DataFrame:
-    """Run the windowed counts over all files of ``path`` as one stream (complete mode) and return the result table."""
-    name = "windows_" + uuid.uuid4().hex
+    """Run the windowed counts over all files of ``path`` as one stream and return the result table.
+
+    Each batch writes the windows it changed to the shared folder (update mode: state older than
+    the watermark is dropped); a window's row of its last batch counts. Nothing is held in the driver.
+    """
+    target = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a path may be one file as well as a folder
-    q = windowed(spark.readStream.schema(schema).parquet(glob)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    changed = windowed(spark.readStream.schema(schema).parquet(glob))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+
+    q = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(T.StructType([*changed.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{target}/rows")
+    last = F.max_by(F.struct("n_events", "total"), "batch")
+    return rows.groupBy("window_start", "event_type").agg(last.alias("x")).select("window_start", "event_type", "x.*")
 
 
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "fingerprint", order: str = "reported_at"):
