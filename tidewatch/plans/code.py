@@ -200,6 +200,15 @@ _META = ", ".join(f"({_q(r.rule_id)}, {_q(r.severity)}, {_q(r.cwe)}, {_q((r.desc
 _LIST = lambda xs: "(" + ", ".join(map(_q, xs)) + ")"
 _JUNK = f"regexp_matches(trim(line, ' ' || chr(9) || chr(13)), {_q(context.JUNK)})"
 
+
+
+def _blanked(name: str, source: str, column: str, pattern: str) -> str:
+    """A table (file_path, t) of texts with a pattern's matches as blanks, line ends kept."""
+    blank = "regexp_replace(hits[i], '[^\\r\\n]', ' ', 'g')"
+    return f"""{name} AS (SELECT file_path, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce({blank}, '')), '') AS t
+  FROM (SELECT file_path, string_split_regex({column}, {_q(pattern)}) AS pieces, regexp_extract_all({column}, {_q(pattern)}) AS hits FROM {source}))"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -223,6 +232,8 @@ SELECT file_path, line_no, rule_id, cwe, confidence,
     "find_function_scope": _find_sql(FIND_FUNCTION),
     "find_class_scope": _find_sql(FIND_CLASS),
     "find_import_scope": _find_sql(FIND_IMPORT),
+    "strip_comments": f"""WITH {FILES_SQL}, {_blanked("b", "files", "content", "(?s)/\\*.*?\\*/")}, {_blanked("c", "b", "t", "//[^\\n]*")}, {_blanked("h", "files", "content", "#[^\\n]*")}
+SELECT file_path, sha256(t) AS stripped_hash, length(t) AS n_chars FROM (SELECT file_path, CASE WHEN ext IN {_LIST(context.C_FAMILY)} THEN c.t WHEN ext IN {_LIST(context.HASH_FAMILY)} THEN h.t ELSE content END AS t FROM files JOIN c USING (file_path) JOIN h USING (file_path))""",
     "line_pointer_adjust": f"""WITH {LINES_SQL}, j AS (SELECT file_path, line_no, {_JUNK} AS junk FROM lines),
 w AS (SELECT *, {", ".join(f"lag(junk, {d}) OVER f AS u{d}, lead(junk, {d}) OVER f AS d{d}" for d in (1, 2, 3))} FROM j WINDOW f AS (PARTITION BY file_path ORDER BY line_no))
 SELECT * FROM (SELECT file_path, line_no, CASE WHEN NOT junk THEN line_no {" ".join(f"WHEN NOT u{d} THEN line_no - {d} WHEN NOT d{d} THEN line_no + {d}" for d in (1, 2, 3))} ELSE line_no END AS adjusted FROM w) WHERE adjusted <> line_no""",

@@ -258,6 +258,15 @@ SELECT db_id, scan_id, phase FROM g WHERE phase = 'final' OR (scan_id NOT IN (SE
     "text_forms": f"""WITH {_RAW} SELECT db_id, CASE WHEN length(description) > 40 THEN left(description, 40) || '...' ELSE description END AS short_text, {_cwe("cwe")} AS cwe_id, {_owasp("owasp")} AS owasp_label,
   regexp_matches(lower(code_snippet), {_q("|".join(p for p in fn.USER_INPUT if p.lower() == p))}) AS user_input, (contains(code_snippet, '%') OR contains(code_snippet, '.format') OR contains(code_snippet, 'f"') OR contains(code_snippet, 'f''') OR contains(code_snippet, '+')) AS formatting,
   regexp_matches(lower(issue_name), 'password|secret|api_key|apikey|token|credential') AS secret_name, (code_snippet <> '' AND left(code_snippet, 1) IN ('"', '''', '`')) AS literal, array_to_string(exploit_path, ' → ') AS path_cell, {_PKG} AS package, {_VER} AS version, replace(file_path, '/', '%2F') AS encoded_path FROM f""",
+    "scanner_ingest": rf"""WITH e AS (SELECT DISTINCT ON (db_id) db_id, issue_name, file_path, severity, line_number FROM engine_findings WHERE lower(trim(source)) = 'semgrep' AND db_id IS NOT NULL),
+n AS (SELECT *, CASE WHEN coalesce(regexp_extract(file_path, '\.([a-z]+)$', 1), '') = '' THEN 'generic' ELSE regexp_extract(file_path, '\.([a-z]+)$', 1) END AS lang, try_cast(nullif(regexp_extract(coalesce(line_number, ''), '^(\d+)', 1), '') AS INT) AS a,
+  try_cast(nullif(regexp_extract(coalesce(line_number, ''), '^\d+-(\d+)$', 1), '') AS INT) AS b FROM e),
+m AS (SELECT *, lang || '.audit.' || issue_name AS rule_id, coalesce(a, 0) AS first, coalesce(b, a, 0) AS last, replace(lang || '.audit.' || issue_name, '.', ' ') AS w, string_split(lang || '.audit.' || issue_name, '.')[-1] AS tail FROM n)
+SELECT db_id, CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fn.LANGUAGE_NAMES.items())} ELSE upper(lang[1]) || lang[2:] END || ' ' || CASE {" ".join("WHEN " + " OR ".join("(" + " AND ".join(f"contains(w, {_q(x)})" for x in k.split("&")) + ")" for k in ks) + f" THEN {_q(t)}" for t, ks in fn.ISSUE_TYPES)}
+  ELSE array_to_string(list_transform(string_split(replace(tail, '-', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') END AS issue_name, file_path,
+  CASE WHEN lower(severity) IN ('error', 'critical') THEN 'critical' WHEN lower(severity) IN ('warning', 'high') THEN 'high' WHEN lower(severity) = 'low' THEN 'low' ELSE 'medium' END AS severity, CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END AS line_number, rule_id FROM m""",
+    "fenced_code": rf"""WITH v AS (SELECT DISTINCT ON (validation_id) validation_id, trim(suggested_fix, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM validations WHERE validation_id IS NOT NULL AND suggested_fix IS NOT NULL)
+SELECT validation_id, sha256(trim(regexp_replace(regexp_replace(t, '^```[A-Za-z0-9_+-]*[ \t]*\r?\n?', ''), '\r?\n?```$', ''), ' ' || chr(9) || chr(10) || chr(13))) AS code_hash FROM v""",
     "discovery_mapping": f"""WITH d AS (SELECT DISTINCT ON (discovery_id) * FROM discoveries WHERE discovery_id IS NOT NULL) SELECT discovery_id, scan_id, coalesce(issue_name, '') AS issue_name, coalesce(file_path, '') AS file_path, coalesce(description, '') AS description, lower({_tx("severity")}) AS severity,
   coalesce(line_number, 0)::VARCHAR AS line_number, coalesce(remediation, '') AS remediation, coalesce(exploit_poc, '') AS exploit_poc, coalesce({_cwe("cwe")}, '') AS cwe, coalesce({_owasp("owasp")}, '') AS owasp, coalesce(confidence, 0.0) AS confidence,
   coalesce(fixed_code_snippet, '') AS fixed_code, trim(coalesce(vulnerable_code, ''), {_bl()}) AS vulnerable_pattern, 'ai-discovery' AS source, 'Discovered by AI' AS ai_validated FROM d""",

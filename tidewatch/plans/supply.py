@@ -176,6 +176,8 @@ SELECT file_path, line_no, rule_id, CASE WHEN suppressed THEN '[SUPPRESSED] ' EL
     "suppression_family": f"WITH {FINDINGS_SQL}, y AS (SELECT *, lower(concat_ws(' ', issue_name, rule_id, description)) AS words FROM f) SELECT {_FAMILY} AS family, count(*) AS n_findings FROM y GROUP BY 1",
     "taint_sinks": f"WITH {LINES_SQL} SELECT language, kind, cwe, count(*) AS n_uses FROM (" + " UNION ALL ".join(f"SELECT '{lang}' AS language, '{kind}' AS kind, '{cwe}' AS cwe FROM lines WHERE syntax = '{lang}' AND regexp_matches(line, {_q(p)})" for lang, p, kind, cwe, _ in code_model.sink_table()) + ") GROUP BY ALL",
     "sarif_rules": f"""WITH {FINDINGS_SQL}, x AS (SELECT *, {_SARIF_ID} AS id FROM f) SELECT id AS rule_id, arg_min(issue_name, db_id) AS name, arg_min({_LEVEL}, db_id) AS level, count(*) AS n_results FROM x GROUP BY 1""",
+    "sarif_results": f"""WITH {FINDINGS_SQL} SELECT scan_id, db_id, json_object('ruleId', {_SARIF_ID}, 'level', {_LEVEL}, 'message', json_object('text', description), 'locations',
+  json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', greatest(line, 1))))))::VARCHAR AS result FROM f""",
     "top_findings": f"WITH {FINDINGS_SQL} SELECT scan_id, db_id, severity FROM f QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY {RANK} DESC, db_id) <= 10",
     "stream_event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
