@@ -72,7 +72,7 @@ def test_tool_reports(spark):
     assert [tuple(x) for x in answers.scanner_findings(r, ("blocked.rule",)).collect()] == [(1, "Go SQL Injection", "a.go", "m", "critical", "3-5", "go.audit.sqli", "No")]
     image = {"Results": [{"Vulnerabilities": [{"VulnerabilityID": "V1", "Severity": "HIGH", "PkgName": "p"}, {"VulnerabilityID": "V2", "Severity": "LOW", "PkgName": "p"}]}, {"Vulnerabilities": None}]}
     i = spark.createDataFrame([(json.dumps(image), "node:1")], "report string, image string")
-    assert [(x.file_path, x.issue_name, x.severity, x.confidence) for x in answers.image_findings(i).collect()] == [("FROM node:1", "[IMAGE] V1 in p", "high", 0.85)]
+    assert [(x.file_path, x.issue_name, x.severity, x.confidence) for x in answers.image_findings(i).collect()] == [("FROM node:1", "[TRIVY] V1 in p", "high", 0.85)]
 
 
 def test_related_files_and_windows(spark):

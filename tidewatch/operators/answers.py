@@ -203,7 +203,7 @@ def image_findings(reports: DataFrame) -> DataFrame:
         *keep,
         F.concat(F.lit("FROM "), F.col("image")).alias("file_path"),
         F.col("v.VulnerabilityID").alias("rule_id"),
-        F.concat(F.lit("[IMAGE] "), F.col("v.VulnerabilityID"), F.lit(" in "), F.col("v.PkgName")).alias("issue_name"),
+        F.concat(F.lit("[TRIVY] "), F.col("v.VulnerabilityID"), F.lit(" in "), F.col("v.PkgName")).alias("issue_name"),
         sev.alias("severity"),
         F.lit("CWE-1104").alias("cwe"),
         F.when(sev == "critical", 0.95).otherwise(0.85).alias("confidence"),
