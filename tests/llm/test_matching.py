@@ -65,3 +65,12 @@ def test_confidence(spark):
     rows = [(i, "a/b", e, "SQL Injection", "src/core/x1/main.py", str(40 + i), "CWE-89") for i, e in enumerate(("semgrep", "ast-analyzer", "taint-analyzer"), 1)]
     got = m.matches(df(spark, rows + LABELLED)).collect()
     assert len(got) == 3 and all(0 < r.confidence <= 1 and (r.pass_a, r.pass_b) == (1, 1) for r in got)
+
+
+def test_every_labelled_record_rates_the_passes(spark):
+    # Three records carry the name of another kind than their CWE's; without the CWE every pass takes them for the others'.
+    n = 120_000
+    right = spark.range(n).selectExpr("id db_id", "'a/b' target", "'semgrep' source", "'SQL Injection' issue_name", "'q/w/e/a.py' file_path", "string(1 + id % 40) line_number", "'CWE-89' cwe")
+    wrong = df(spark, [(n + i, "a/b", "semgrep", "SQL Injection", "q/w/e/a.py", "5", "CWE-79") for i in range(3)]).select(right.columns)
+    got = m.pass_precision(*m.assigned(right.unionByName(wrong))).collect()
+    assert {r["pass"]: (r.labelled, r.right, r.precision) for r in got} == {k: (n + 3, n, (n + 1) / (n + 5)) for k in range(1, 6)}

@@ -26,8 +26,8 @@ A record's confidence is the precision of its pass, measured on labelled cases w
 smoothing. Labelled are records of whole path and line whose CWE is given: the CWE, not the
 cascade, says which entity is theirs. The CWE is withheld (the kind comes from the name), they are
 stripped of what the pass does without, and it is counted how often the pass brings them to the
-entity of their CWE. At most about MOST_RATED records are rated, drawn by a hash of their id. A
-pair's confidence is the product.
+entity of their CWE. All of them are rated: those alike in all that a pass reads are tried once and
+count as often as they occur. A pair's confidence is the product.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ from tidewatch.session import cut
 
 #: Lines of one weakness lie at most this far from the next report of it; other weaknesses are dozens of lines away.
 LINE_GAP = 20
-#: Labelled records that rate the passes (all, where there are fewer).
-MOST_RATED = 100_000
 
 # CWE numbers of one kind of weakness (from the public CWE hierarchy).
 CWE_KINDS = {
@@ -210,31 +208,41 @@ def _stated(ent: DataFrame, suffixed: bool, *columns: str) -> DataFrame:
     return e.select("target", "path", "kind", F.explode(F.array("ext", F.lit(ANY))).alias("ext_key"), "entity", *columns)
 
 
-def _by_line(r: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
-    """db_id -> nearest entity with a fitting path, kind and line."""
-    place = ["target", "path", "kind", "ext", "line"]
-    asked = r.select(*place).distinct().withColumn("bucket", F.floor(F.col("line") / LINE_GAP)).withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
+LINE_PLACE = ("target", "path", "kind", "ext", "line")
+FREE_PLACE = ("target", "path", "kind", "ext", "engine")
+
+
+def _nearest(r: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
+    """LINE_PLACE -> nearest entity with a fitting path, kind and line."""
+    asked = r.select(*LINE_PLACE).distinct().withColumn("bucket", F.floor(F.col("line") / LINE_GAP)).withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
     e = _stated(ent, suffixed, "lo", "hi")
     e = e.select("*", F.explode(_buckets(F.col("lo") - LINE_GAP, F.col("hi") + LINE_GAP)).alias("bucket"))
     x = asked.join(e, ["target", "path", "kind", "ext_key", "bucket"])
     away = F.greatest(F.col("lo") - F.col("line"), F.col("line") - F.col("hi"), F.lit(0))
-    best = x.filter(away <= LINE_GAP).groupBy(*place).agg(F.min(F.struct(away.alias("away"), "entity")).alias("x")).select(*place, F.col("x.entity").alias("entity"))
-    return r.select("db_id", *place).join(best, place).select("db_id", "entity")
+    return x.filter(away <= LINE_GAP).groupBy(*LINE_PLACE).agg(F.min(F.struct(away.alias("away"), "entity")).alias("x")).select(*LINE_PLACE, F.col("x.entity").alias("entity"))
 
 
-def _without_line(r: DataFrame, ent: DataFrame, members: DataFrame, suffixed: bool) -> DataFrame:
-    """db_id -> the only entity with a fitting path and kind, or the only one without a record of the engine."""
+def _by_line(r: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
+    """db_id -> nearest entity with a fitting path, kind and line."""
+    return r.select("db_id", *LINE_PLACE).join(_nearest(r, ent, suffixed), [*LINE_PLACE]).select("db_id", "entity")
+
+
+def _lone(r: DataFrame, ent: DataFrame, members: DataFrame, suffixed: bool) -> DataFrame:
+    """FREE_PLACE -> number of the only entity with a fitting path and kind, or of the only one without a record of the engine."""
     key = ["target", "path", "kind", "ext_key"]
     e = _stated(ent, suffixed).withColumn("number", _number("entity"))
     every = e.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor("number").alias("x"))
     theirs = e.join(members.select("entity", "engine").distinct(), "entity").groupBy(*key, "engine").agg(F.count("*").alias("n_has"), F.bit_xor("number").alias("x_has"))
-    asked = r.select("target", "path", "kind", "ext", "engine").distinct().withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
+    asked = r.select(*FREE_PLACE).distinct().withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
     x = asked.join(every, key).join(theirs, [*key, "engine"], "left")
-    place = ["target", "path", "kind", "ext", "engine"]
-    g = x.groupBy(*place).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum(F.coalesce("n_has", F.lit(0))).alias("n_has"), F.bit_xor(F.coalesce("x_has", F.lit(0).cast("long"))).alias("x_has"))
+    g = x.groupBy(*FREE_PLACE).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum(F.coalesce("n_has", F.lit(0))).alias("n_has"), F.bit_xor(F.coalesce("x_has", F.lit(0).cast("long"))).alias("x_has"))
     only = F.when(F.col("n") == 1, F.col("x")).when(F.col("n") - F.col("n_has") == 1, F.col("x").bitwiseXOR(F.col("x_has")))
-    g = g.select(*place, only.alias("number")).filter(F.col("number").isNotNull())
-    found = r.select("db_id", *place).join(g, place).select("db_id", "number")
+    return g.select(*FREE_PLACE, only.alias("number")).filter(F.col("number").isNotNull())
+
+
+def _without_line(r: DataFrame, ent: DataFrame, members: DataFrame, suffixed: bool) -> DataFrame:
+    """db_id -> the only entity with a fitting path and kind, or the only one without a record of the engine."""
+    found = r.select("db_id", *FREE_PLACE).join(_lone(r, ent, members, suffixed), [*FREE_PLACE]).select("db_id", "number")
     return found.join(ent.select("entity", _number("entity").alias("number")), "number").select("db_id", "entity")
 
 
@@ -276,24 +284,23 @@ def pass_precision(done: DataFrame, r: DataFrame, ent: DataFrame) -> DataFrame:
     """pass, labelled, right, precision = (right + 1) / (labelled + 2)."""
     truth = done.filter(F.col("pass") == 1).select("db_id", F.col("entity").alias("true_entity"))
     known = r.filter(F.col("cwe_kind").isNotNull() & F.col("line").isNotNull() & ~F.col("short")).join(truth, "db_id")
-    every = F.greatest(F.ceil(F.lit(known.count()) / MOST_RATED), F.lit(1))
-    known = cut(known.filter(F.pmod(F.xxhash64("db_id"), every) == 0).withColumn("kind", F.col("name_kind")))
+    # Without a line a record must find its entity although its own engine is already there: its place counts as free, and engines do not matter.
+    known = known.withColumn("kind", F.col("name_kind")).withColumn("engine", F.lit(""))
+    known = cut(known.groupBy(*LINE_PLACE, "engine", "cwe_kind", "true_entity").agg(F.count("*").alias("n")))
     parts = F.split("path", "/")
     cut_short = known.filter(F.size(parts) > 1).withColumn("path", F.element_at(parts, -1))
     nobody = done.limit(0)
 
-    def rate(n: int, hit: DataFrame) -> DataFrame:
-        x = hit.join(known.select("db_id", "true_entity"), "db_id")
-        return x.agg(F.lit(n).alias("pass"), F.count("*").alias("labelled"), F.count_if(F.col("entity") == F.col("true_entity")).alias("right"))
+    def rate(n: int, x: DataFrame, right: Column) -> DataFrame:
+        labelled, hits = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), F.when(right, F.col("n"))))
+        return x.agg(F.lit(n).alias("pass"), labelled.alias("labelled"), hits.alias("right"))
 
-    # Without a line a record must find its entity although its own engine is already there: its place counts as free.
-    tries = (_by_line(known, ent, False), _by_line(cut_short, ent, True), _without_line(known, ent, nobody, False), _without_line(cut_short, ent, nobody, True))
-    out = rate(1, tries[0])
-    for n, hit in enumerate(tries[1:], 2):
-        out = out.unionByName(rate(n, hit))
     # The rest is grouped by the kind alone: right where the name's kind is the CWE's.
-    kinds = known.agg(F.lit(5).alias("pass"), F.count("*").alias("labelled"), F.count_if(F.col("cwe_kind") == F.col("name_kind")).alias("right"))
-    return out.unionByName(kinds).withColumn("precision", (F.col("right") + 1) / (F.col("labelled") + 2))
+    out = rate(5, known, F.col("cwe_kind") == F.col("kind"))
+    for n, rows, suffixed in ((1, known, False), (2, cut_short, True)):
+        out = out.unionByName(rate(n, rows.join(_nearest(rows, ent, suffixed), [*LINE_PLACE]), F.col("entity") == F.col("true_entity")))
+        out = out.unionByName(rate(n + 2, rows.join(_lone(rows, ent, nobody, suffixed), [*FREE_PLACE]), F.col("number") == _number("true_entity")))
+    return out.withColumn("precision", (F.col("right") + 1) / (F.col("labelled") + 2))
 
 
 def _pairs(done: DataFrame) -> DataFrame:
