@@ -74,3 +74,23 @@ def test_every_labelled_record_rates_the_passes(spark):
     wrong = df(spark, [(n + i, "a/b", "semgrep", "SQL Injection", "q/w/e/a.py", "5", "CWE-79") for i in range(3)]).select(right.columns)
     got = m.pass_precision(*m.assigned(right.unionByName(wrong))).collect()
     assert {r["pass"]: (r.labelled, r.right, r.precision) for r in got} == {k: (n + 3, n, (n + 1) / (n + 5)) for k in range(1, 6)}
+
+
+def test_few_jobs(spark):
+    # Every exchange costs the driver a job, threads and another plan of the whole query: too many took more memory than it has.
+    sc = spark.sparkContext
+    rows = [
+        (1, "a/b", "semgrep", "SQL Injection", "src/core/x1/main.py", "40", "CWE-89"), (2, "a/b", "ast-analyzer", "SQL Injectoin", "x1/main.py", "41", None),
+        (3, "a/b", "taint-analyzer", "SQL Injection", "src/core/x1/main.py", None, "CWE-89"), (4, "a/b", "ai-discovery", "SQL Injection", "x1/main.py", None, "CWE-89"),
+        (5, "a/b", "pattern-engine", "SQL Injection", "/home/ci/b/src/core/x1/main.py", "42", "CWE-89"), (6, "a/b", "semgrep", "SQL Injection", "x1/main.py", "400", "CWE-89"),
+        (7, "a/b", "ast-analyzer", "SQL Injection", "x1/main.py", "405", "CWE-89"), (8, "a/b", "ast-analyzer", "Open Redirect", "src/core/x1/main.py", "0", "CWE-601"),
+        (9, "a/b", "semgrep", "Open Redirect", "src/core/x1/main.py", "0", "CWE-601"),
+    ]
+    sc.setJobGroup("few jobs", "")
+    try:
+        got = pairs(spark, rows)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few jobs"))
+    finally:
+        sc._jsc.clearJobGroup()
+    assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} | {(6, 7), (8, 9)}
+    assert 10 < jobs < 60, jobs

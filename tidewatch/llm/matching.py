@@ -2,7 +2,7 @@
 
 A deterministic rule cascade assigns each record to an entity (one kind of weakness at one
 place of one file of one target). Each pass is an exact join on a weaker combination of
-attributes and sees only the records that the passes before it left over (anti join):
+attributes. Passes 1 to 4 take the four kinds of places (path whole or shortened, line or none), pass 5 what they left over:
 
 1. whole path, kind, line: records of one file and kind whose lines lie within LINE_GAP of
    the next one found the entities;
@@ -12,12 +12,15 @@ attributes and sees only the records that the passes before it left over (anti j
 4. shortened path, kind, no line: likewise;
 5. the rest, by whole path as it stands and near lines among themselves.
 
+Records of one place (file, kind, line) are gathered first, in one exchange; the passes look places up and
+carry their records along, so nothing is joined back to single records.
+
 Near lines and path suffixes become exact keys: an entity states the line buckets it touches
-and the suffixes of its path (as many as the path has parts), a record states its own. No join
-compares all records of a file name, kind or target: lines are looked up once for each distinct
-place asked for (a bucket has LINE_GAP lines at most), and records without a line meet one
-summary row a key. The summary counts the entities and XORs their numbers, so that the only
-entity, or the only one an engine does not report, is left over.
+and the suffixes of its path (as many as the path has parts), a place states its bucket and the two beside it. No
+join compares all records of a file name, kind or target: lines are looked up once for each distinct
+place asked for (a bucket has LINE_GAP lines at most), and places without a line meet one
+summary row a key, extension and engine. The summary counts the entities and XORs the halves of their keys, so that the
+only entity, or the only one an engine does not report, is left over.
 
 The kind comes from the CWE where there is one, else from the issue name: the class that names
 spelled alike carry in the corpus, else naive Bayes over character trigrams (misspellings).
@@ -32,6 +35,8 @@ count as often as they occur. A pair's confidence is the product.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,25 +113,27 @@ def _suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def _name_kinds(r: DataFrame) -> DataFrame:
-    """name, name_kind: the kind an issue name stands for, learnt from all rows that have a CWE."""
-    named = r.filter(F.col("cwe_kind").isNotNull() & (F.col("name") != "")).groupBy("name", "cwe_kind").agg(F.count("*").alias("n"))
-    exact = named.groupBy("name").agg(F.max(F.struct("n", "cwe_kind")).alias("x")).select("name", F.col("x.cwe_kind").alias("exact_kind"))
+def _grams(name: str) -> Column:
+    padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
 
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        padded = F.concat(F.lit(" "), F.col("name"), F.lit(" "))
-        g = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-        return df.select(*keep, F.explode(F.array_distinct(g)).alias("gram"))
 
-    model = grams(named, "cwe_kind", "n").groupBy("gram", "cwe_kind").agg(F.sum("n").alias("n"))
-    totals = model.groupBy("cwe_kind").agg(F.sum("n").alias("all"))
+def _name_kinds(r: DataFrame) -> DataFrame:
+    """name, name_kind: the kind an issue name stands for, learnt from all rows that have a CWE; no row where nothing tells."""
+    has = F.col("cwe_kind").isNotNull()
+    named = r.filter(F.col("name") != "").groupBy("name", "cwe_kind").agg(F.count("*").alias("n")).groupBy("name")
+    named = cut(named.agg(F.max(F.when(has, F.struct("n", "cwe_kind"))).alias("x"), F.collect_list(F.when(has, F.struct("cwe_kind", "n"))).alias("kinds")))
+    exact = named.filter(F.col("x").isNotNull()).select("name", F.col("x.cwe_kind").alias("name_kind"))
+
+    learnt = named.select(_grams("name").alias("grams"), F.inline("kinds"))
+    model = learnt.select("cwe_kind", "n", F.explode("grams").alias("gram")).groupBy("gram", "cwe_kind").agg(F.sum("n").alias("n"))
+    totals = learnt.groupBy("cwe_kind").agg(F.sum(F.col("n") * F.size("grams")).alias("all"))
     small, vocabulary = 0.5, 1000  # add-half smoothing over about so many trigrams
-    unknown = r.filter(F.col("name") != "").select("name").distinct().join(exact, "name", "left_anti")
-    hits = grams(unknown, "name").join(model, "gram").groupBy("name", "cwe_kind").agg(F.sum(F.ln(F.col("n") + small) - F.ln(F.lit(small))).alias("gain"))
+    unknown = named.filter(F.col("x").isNull()).select("name", F.explode(_grams("name")).alias("gram"))
+    hits = unknown.join(model, "gram").groupBy("name", "cwe_kind").agg(F.sum(F.ln(F.col("n") + small) - F.ln(F.lit(small))).alias("gain"))
     scored = hits.join(totals, "cwe_kind").withColumn("score", F.col("gain") - F.length("name") * F.ln(F.col("all") + small * vocabulary))
     guessed = scored.groupBy("name").agg(F.max(F.struct("score", "cwe_kind")).alias("x")).select("name", F.col("x.cwe_kind").alias("name_kind"))
-    rest = unknown.join(guessed, "name", "left").select("name", F.coalesce("name_kind", F.concat(F.lit("name:"), F.col("name"))).alias("name_kind"))
-    return exact.select("name", F.col("exact_kind").alias("name_kind")).unionByName(rest)
+    return exact.unionByName(guessed)
 
 
 def records(engine_findings: DataFrame) -> DataFrame:
@@ -144,23 +151,27 @@ def records(engine_findings: DataFrame) -> DataFrame:
         "db_id", engine_of(F.col("source")).alias("engine"), target_of(F.col("target")).alias("target"), name_key(F.col("issue_name")).alias("name"), F.coalesce("file_path", F.lit("")).alias("file_path"),
         F.when(own_line > 0, own_line).alias("own_line"), kind_of_cwe(F.col("cwe")).alias("cwe_kind"),
     )
-    named = r.select("name", "cwe_kind")
+    # Read three times below: for its files, its names and its rows.
+    r = cut(r)
+    names = _name_kinds(r.select("name", "cwe_kind"))
     r = r.join(_files(r.select("target", "file_path").distinct()), ["target", "file_path"]).withColumn("line", F.coalesce("own_line", F.when(F.col("path_line") > 0, F.col("path_line"))))
-    r = r.drop("own_line", "path_line", "file_path").join(_name_kinds(named), "name", "left").withColumn("name_kind", F.coalesce("name_kind", F.lit("name:")))
-    return r.withColumn("kind", F.coalesce("cwe_kind", "name_kind"))
+    r = r.drop("own_line", "path_line", "file_path").join(names, "name", "left").withColumn("name_kind", F.coalesce("name_kind", F.concat(F.lit("name:"), F.coalesce("name", F.lit("")))))
+    return r.withColumn("kind", F.coalesce("cwe_kind", "name_kind")).drop("name")
 
 
 def _files(spelled: DataFrame) -> DataFrame:
     """target, file_path (as spelled), path_line, path, ext, short: all that is known of a path, on distinct ones only."""
     f = cut(_path_columns(spelled))
-    roots = f.filter("absolute").select("target", "path", F.posexplode(_suffixes(F.col("path"))).alias("drop", "tail")).filter(F.col("tail").contains("/"))
-    relative = f.filter(~F.col("absolute")).select("target", F.col("path").alias("tail")).distinct()
-    rooted = roots.join(relative, ["target", "tail"]).groupBy("target", "path").agg(F.min(F.struct("drop", "tail")).alias("x")).select("target", "path", F.lit(True).alias("absolute"), F.col("x.tail").alias("rooted"))
+    own = [c for c in f.columns if c not in ("target", "file_path")]
+    relative = f.filter(~F.col("absolute") & F.col("path").contains("/")).select("target", F.col("path").alias("tail"), F.lit(True).alias("held")).distinct()
+    tails = f.filter("absolute").select("*", F.posexplode(_suffixes(F.col("path"))).alias("drop", "tail")).join(relative, ["target", "tail"], "left")
+    rooted = tails.groupBy("target", "file_path").agg(*(F.first(c).alias(c) for c in own), F.min(F.when(F.col("held"), F.struct("drop", "tail"))).alias("x")).select("target", "file_path", *own, F.col("x.tail").alias("rooted"))
     # No relative twin: cut through the part named like the target's repository.
     repo = F.element_at(F.split("target", "/"), -1)
     at = F.instr(F.concat(F.lit("/"), F.col("path"), F.lit("/")), F.concat(F.lit("/"), repo, F.lit("/")))
     by_repo = F.when(F.col("absolute") & (at > 0), F.substring(F.col("path"), at + F.length(repo) + 1, F.length("path")))
-    f = f.join(rooted, ["target", "path", "absolute"], "left").withColumn("path", F.coalesce("rooted", by_repo, "path")).drop("rooted", "absolute")
+    f = f.filter(~F.col("absolute")).withColumn("rooted", F.lit(None).cast("string")).unionByName(rooted)
+    f = f.withColumn("path", F.coalesce("rooted", by_repo, "path")).drop("rooted", "absolute")
     # What other paths of the target say of one: its only extension, and whether it is the end of a longer one.
     here = F.struct(F.col("path"), F.when(F.col("ext") != "", F.col("ext")).alias("e"), F.lit(False).alias("s"))
     ends = F.transform(F.filter(_suffixes(F.col("path")), lambda p: p != ""), lambda p: F.struct(p.alias("path"), F.lit(None).cast("string").alias("e"), F.lit(True).alias("s")))
@@ -177,107 +188,117 @@ def _key(*columns: Column | str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *columns)))
 
 
-def _islands(r: DataFrame) -> DataFrame:
-    """Entities of records with a line: file, kind, lo, hi, entity. Windows run over distinct lines of a file and kind."""
-    lines = r.groupBy(*FILE_KIND, "line").agg(F.lit(1).alias("one"))
+def _islands(places: DataFrame) -> DataFrame:
+    """Places (file, kind, line) with the first line and the key of their island."""
     w = W.partitionBy(*FILE_KIND).orderBy("line")
-    lines = lines.withColumn("new", (F.col("line") - F.lag("line", 1, -LINE_GAP).over(w) > LINE_GAP).cast("int")).withColumn("island", F.sum("new").over(w))
-    return lines.groupBy(*FILE_KIND, "island").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).withColumn("entity", _key(*FILE_KIND, F.col("lo").cast("string"))).drop("island")
+    p = places.withColumn("first", F.coalesce(F.col("line") - F.lag("line").over(w) > LINE_GAP, F.lit(True)))
+    p = p.withColumn("lo", F.last(F.when(F.col("first"), F.col("line")), ignorenulls=True).over(w)).drop("first")
+    return p.withColumn("entity", _key(*FILE_KIND, F.col("lo").cast("string")))
 
 
-def _buckets(lo: Column, hi: Column) -> Column:
-    return F.sequence(F.floor(lo / LINE_GAP), F.floor(hi / LINE_GAP))
+def _places(r: DataFrame) -> DataFrame:
+    """Distinct places with their records (members: engine, db_id). One exchange, by file and kind, serves the islands too."""
+    return r.repartition(*FILE_KIND).groupBy(*FILE_KIND, "line", "short").agg(F.collect_list(F.struct("engine", "db_id")).alias("members"))
 
 
-ANY = "*"
+def _buckets(lo: Column, hi: Column) -> Column:
+    return F.sequence(F.floor(lo / LINE_GAP), F.floor(hi / LINE_GAP))
 
 
-def _number(entity: Column | str) -> Column:
-    return F.xxhash64(entity)
+#: Stands for every engine: no engine's name holds a blank.
+ANY = "\n"
 
 
-def _asked_ext(ext: Column) -> Column:
-    """Extension keys a record looks up: its own and unknown ones, or all if its own is unknown."""
-    return F.when(ext == "", F.array(F.lit(ANY))).otherwise(F.array(ext, F.lit("")))
+def _stated(ent: DataFrame, suffixed: bool, *columns: Column | str) -> DataFrame:
+    """The paths under which an entity is found, with its kind and extension (e_ext)."""
+    path = F.explode(_suffixes(F.col("path"))).alias("path") if suffixed else F.col("path")
+    return ent.select("target", path, "kind", F.col("ext").alias("e_ext"), "entity", *columns)
 
 
-def _stated(ent: DataFrame, suffixed: bool, *columns: str) -> DataFrame:
-    """The keys under which an entity is found: target, path, kind, ext_key."""
-    path = F.explode(_suffixes(F.col("path"))).alias("path") if suffixed else F.col("path")
-    e = ent.select("target", path, "kind", "ext", "entity", *columns)
-    return e.select("target", "path", "kind", F.explode(F.array("ext", F.lit(ANY))).alias("ext_key"), "entity", *columns)
+def _ext_fits() -> Column:
+    return (F.col("ext") == "") | (F.col("e_ext") == "") | (F.col("ext") == F.col("e_ext"))
 
 
 LINE_PLACE = ("target", "path", "kind", "ext", "line")
 FREE_PLACE = ("target", "path", "kind", "ext", "engine")
 
 
-def _nearest(r: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
-    """LINE_PLACE -> nearest entity with a fitting path, kind and line."""
-    asked = r.select(*LINE_PLACE).distinct().withColumn("bucket", F.floor(F.col("line") / LINE_GAP)).withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
+def _nearest(places: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
+    """Distinct LINE_PLACEs, with their other columns, -> nearest entity with a fitting path, kind and line, or null."""
+    own = [c for c in places.columns if c not in LINE_PLACE]
+    bucket = F.floor(F.col("line") / LINE_GAP)
+    asked = places.select("*", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
     e = _stated(ent, suffixed, "lo", "hi")
-    e = e.select("*", F.explode(_buckets(F.col("lo") - LINE_GAP, F.col("hi") + LINE_GAP)).alias("bucket"))
-    x = asked.join(e, ["target", "path", "kind", "ext_key", "bucket"])
+    e = e.select("*", F.explode(_buckets(F.col("lo"), F.col("hi"))).alias("bucket"))
+    x = asked.join(e, ["target", "path", "kind", "bucket"], "left")
     away = F.greatest(F.col("lo") - F.col("line"), F.col("line") - F.col("hi"), F.lit(0))
-    return x.filter(away <= LINE_GAP).groupBy(*LINE_PLACE).agg(F.min(F.struct(away.alias("away"), "entity")).alias("x")).select(*LINE_PLACE, F.col("x.entity").alias("entity"))
+    best = F.min(F.when(F.col("lo").isNotNull() & (away <= LINE_GAP) & _ext_fits(), F.struct(away.alias("away"), "entity")))
+    return x.groupBy(*LINE_PLACE).agg(*(F.first(c).alias(c) for c in own), best.alias("x")).select(*LINE_PLACE, *own, F.col("x.entity").alias("entity"))
+
+
+def _half(entity: Column | str, k: int) -> Column:
+    return F.conv(F.hex(F.substring(entity, 1 + 8 * k, 8)), 16, -10).cast("long")
 
 
-def _by_line(r: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
-    """db_id -> nearest entity with a fitting path, kind and line."""
-    return r.select("db_id", *LINE_PLACE).join(_nearest(r, ent, suffixed), [*LINE_PLACE]).select("db_id", "entity")
+def _lone(places: DataFrame, ent: DataFrame, suffixed: bool) -> DataFrame:
+    """Distinct FREE_PLACEs, with their other columns, -> the only entity with a fitting path and kind, or the only one without a record of the engine, or null.
+
+    ent: entities with the engines that report them.
+    """
+    own = [c for c in places.columns if c not in FREE_PLACE]
+    key = ["target", "path", "kind", "e_engine"]
+    e = _stated(ent, suffixed, _half("entity", 0).alias("x0"), _half("entity", 1).alias("x1"), F.explode(F.concat(F.array(F.lit(ANY)), "engines")).alias("e_engine"))
+    e = e.groupBy(*key, "e_ext").agg(F.count("*").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    x = places.select("*", F.explode(F.array(F.lit(ANY), "engine")).alias("e_engine")).join(e, key, "left")
+    every = F.coalesce((F.col("e_engine") == ANY) & _ext_fits(), F.lit(False))
+    has = F.coalesce((F.col("e_engine") != ANY) & _ext_fits(), F.lit(False))
+    total = (F.sum(F.when(every, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("n_has"))
+    xors = (F.bit_xor(F.when(c, F.col(f"x{k}")).otherwise(0)).alias(f"{name}{k}") for name, c in (("every", every), ("has", has)) for k in (0, 1))
+    g = x.groupBy(*FREE_PLACE).agg(*(F.first(c).alias(c) for c in own), *total, *xors)
 
+    def entity(*halves: Column) -> Column:
+        return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
 
-def _lone(r: DataFrame, ent: DataFrame, members: DataFrame, suffixed: bool) -> DataFrame:
-    """FREE_PLACE -> number of the only entity with a fitting path and kind, or of the only one without a record of the engine."""
-    key = ["target", "path", "kind", "ext_key"]
-    e = _stated(ent, suffixed).withColumn("number", _number("entity"))
-    every = e.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor("number").alias("x"))
-    theirs = e.join(members.select("entity", "engine").distinct(), "entity").groupBy(*key, "engine").agg(F.count("*").alias("n_has"), F.bit_xor("number").alias("x_has"))
-    asked = r.select(*FREE_PLACE).distinct().withColumn("ext_key", F.explode(_asked_ext(F.col("ext"))))
-    x = asked.join(every, key).join(theirs, [*key, "engine"], "left")
-    g = x.groupBy(*FREE_PLACE).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum(F.coalesce("n_has", F.lit(0))).alias("n_has"), F.bit_xor(F.coalesce("x_has", F.lit(0).cast("long"))).alias("x_has"))
-    only = F.when(F.col("n") == 1, F.col("x")).when(F.col("n") - F.col("n_has") == 1, F.col("x").bitwiseXOR(F.col("x_has")))
-    return g.select(*FREE_PLACE, only.alias("number")).filter(F.col("number").isNotNull())
+    left = [F.col(f"every{k}").bitwiseXOR(F.col(f"has{k}")) for k in (0, 1)]
+    only = F.when(F.col("n") == 1, entity(F.col("every0"), F.col("every1"))).when(F.col("n") - F.col("n_has") == 1, entity(*left))
+    return g.select(*FREE_PLACE, *own, only.alias("entity"))
 
 
-def _without_line(r: DataFrame, ent: DataFrame, members: DataFrame, suffixed: bool) -> DataFrame:
-    """db_id -> the only entity with a fitting path and kind, or the only one without a record of the engine."""
-    found = r.select("db_id", *FREE_PLACE).join(_lone(r, ent, members, suffixed), [*FREE_PLACE]).select("db_id", "number")
-    return found.join(ent.select("entity", _number("entity").alias("number")), "number").select("db_id", "entity")
+def _reported(ent: DataFrame, *more: DataFrame) -> DataFrame:
+    """Entities with the engines of the records that found them so far (more: places with entity and members)."""
+    for m in more:
+        m = m.filter(F.col("entity").isNotNull()).select("entity", F.array_sort(F.array_distinct("members.engine")).alias("engines"))
+        ent = ent.unionByName(m, allowMissingColumns=True)
+    return ent.groupBy("entity").agg(*(F.max(c).alias(c) for c in FILE_KIND), F.array_distinct(F.flatten(F.collect_set("engines"))).alias("engines"))
+
+
+def _by_engine(places: DataFrame) -> DataFrame:
+    """Distinct FREE_PLACEs with the members of their engine."""
+    p = places.select(*FILE_KIND, "members", F.explode(F.array_distinct("members.engine")).alias("engine"))
+    return p.withColumn("members", F.filter("members", lambda m: m["engine"] == F.col("engine")))
 
 
 def assigned(engine_findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records with entity and pass, records, entities of pass 1)."""
+    """(records with entity and pass, records, entities of pass 1).
+
+    Each pass takes other places: with or without a line, of a whole or a shortened path. What it leaves over has no entity.
+    """
     r = cut(records(engine_findings))
     has_line = F.col("line").isNotNull()
-    whole = r.filter(~F.col("short") & has_line)
-    ent = cut(_islands(whole))
-
-    def passed(rows: DataFrame, hit: DataFrame, n: int) -> DataFrame:
-        return rows.select("db_id", "engine").join(hit, "db_id").select("db_id", "engine", "entity", F.lit(n).alias("pass"))
-
-    first = _inside(whole, ent).select("db_id", "engine", "entity", F.lit(1).alias("pass"))
-    rows = r.filter(F.col("short") & has_line)
-    done = cut(first.unionByName(passed(rows, _by_line(rows, ent, True), 2)))
-    rows = r.filter(~F.col("short") & ~has_line)
-    done = cut(done.unionByName(passed(rows, _without_line(rows, ent, done, False), 3)))
-    rows = r.filter(F.col("short") & ~has_line)
-    done = cut(done.unionByName(passed(rows, _without_line(rows, ent, done, True), 4)))
-    rest = r.join(done.select("db_id"), "db_id", "left_anti")
-    near = rest.filter(has_line)
-    alone = _key(F.lit("rest"), *FILE_KIND)
-    placed = _inside(near, _islands(near)).select("db_id", "engine", _key(F.hex("entity"), F.lit("rest")).alias("entity"))
-    placed = placed.unionByName(rest.filter(~has_line).select("db_id", "engine", alone.alias("entity")))
-    return done.unionByName(placed.withColumn("pass", F.lit(5))), r, ent
-
-
-def _inside(r: DataFrame, ent: DataFrame) -> DataFrame:
-    """db_id, engine, entity: records with the island of their own file, kind and line."""
-    place = r.select("db_id", "engine", "line", _key(*FILE_KIND).alias("file_kind"))
-    covered = ent.select(_key(*FILE_KIND).alias("file_kind"), "lo", "hi", "entity")
-    lines = place.select("file_kind", "line").distinct()
-    hit = lines.join(covered, "file_kind").filter((F.col("line") >= F.col("lo")) & (F.col("line") <= F.col("hi"))).select("file_kind", "line", "entity")
-    return place.join(hit, ["file_kind", "line"]).select("db_id", "engine", "entity")
+    p = cut(_islands(_places(r)))
+    first = p.filter(~F.col("short") & has_line)
+    engines = F.array_sort(F.array_distinct(F.flatten(F.collect_set("members.engine"))))
+    ent = cut(first.groupBy(*FILE_KIND, "lo", "entity").agg(F.max("line").alias("hi"), engines.alias("engines")))
+    second = cut(_nearest(p.filter(F.col("short") & has_line).select(*LINE_PLACE, "members"), ent, True))
+    third = cut(_lone(_by_engine(p.filter(~F.col("short") & ~has_line)), _reported(ent, second), False))
+    fourth = cut(_lone(_by_engine(p.filter(F.col("short") & ~has_line)), _reported(ent, second, third), True))
+
+    hit = F.col("entity").isNotNull()
+    near = _islands(second.filter(~hit)).withColumn("entity", _key(F.hex("entity"), F.lit("rest")))
+    alone = third.unionByName(fourth).filter(~hit).withColumn("entity", _key(F.lit("rest"), *FILE_KIND))
+    parts = ((first, 1), (second.filter(hit), 2), (third.filter(hit), 3), (fourth.filter(hit), 4), (near, 5), (alone, 5))
+    done = reduce(DataFrame.unionByName, (x.select("entity", F.lit(n).alias("pass"), F.inline("members")) for x, n in parts))
+    return done.select("db_id", "engine", "entity", "pass"), r, ent
 
 
 def pass_precision(done: DataFrame, r: DataFrame, ent: DataFrame) -> DataFrame:
@@ -289,7 +310,7 @@ def pass_precision(done: DataFrame, r: DataFrame, ent: DataFrame) -> DataFrame:
     known = cut(known.groupBy(*LINE_PLACE, "engine", "cwe_kind", "true_entity").agg(F.count("*").alias("n")))
     parts = F.split("path", "/")
     cut_short = known.filter(F.size(parts) > 1).withColumn("path", F.element_at(parts, -1))
-    nobody = done.limit(0)
+    nobody = ent.withColumn("engines", F.array().cast("array<string>"))
 
     def rate(n: int, x: DataFrame, right: Column) -> DataFrame:
         labelled, hits = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), F.when(right, F.col("n"))))
@@ -298,15 +319,15 @@ def pass_precision(done: DataFrame, r: DataFrame, ent: DataFrame) -> DataFrame:
     # The rest is grouped by the kind alone: right where the name's kind is the CWE's.
     out = rate(5, known, F.col("cwe_kind") == F.col("kind"))
     for n, rows, suffixed in ((1, known, False), (2, cut_short, True)):
-        out = out.unionByName(rate(n, rows.join(_nearest(rows, ent, suffixed), [*LINE_PLACE]), F.col("entity") == F.col("true_entity")))
-        out = out.unionByName(rate(n + 2, rows.join(_lone(rows, ent, nobody, suffixed), [*FREE_PLACE]), F.col("number") == _number("true_entity")))
+        for k, place, hits in ((n, LINE_PLACE, _nearest(rows.select(*LINE_PLACE).distinct(), ent, suffixed)), (n + 2, FREE_PLACE, _lone(rows.select(*FREE_PLACE).distinct(), nobody, suffixed))):
+            out = out.unionByName(rate(k, rows.join(hits.filter(F.col("entity").isNotNull()), [*place]), F.col("entity") == F.col("true_entity")))
     return out.withColumn("precision", (F.col("right") + 1) / (F.col("labelled") + 2))
 
 
 def _pairs(done: DataFrame) -> DataFrame:
     """Pairs of records of one entity by different engines; entities of one engine are dropped first."""
-    several = done.groupBy("entity").agg(F.min("engine").alias("lo"), F.max("engine").alias("hi")).filter(F.col("lo") != F.col("hi")).select("entity")
-    m = done.join(several, "entity", "left_semi")
+    w = W.partitionBy("entity")
+    m = done.withColumn("lo", F.min("engine").over(w)).withColumn("hi", F.max("engine").over(w)).filter(F.col("lo") != F.col("hi"))
     a = m.select(F.col("db_id").alias("db_id_a"), F.col("engine").alias("engine_a"), "entity", F.col("pass").alias("pass_a"))
     b = m.select(F.col("db_id").alias("db_id_b"), F.col("engine").alias("engine_b"), "entity", F.col("pass").alias("pass_b"))
     return a.join(b, "entity").filter((F.col("db_id_a") < F.col("db_id_b")) & (F.col("engine_a") != F.col("engine_b")))
